@@ -39,25 +39,23 @@ def to_documents(panel: DataFrame, layout: DocumentLayout) -> DataFrame:
     so its size is bounded by the calendar, not by the data.
     """
 
-    def leaf(kind: str, metrics: list[str]):
-        pairs = [c for m in metrics for c in (F.lit(m), F.col(m).cast("double"))]
-        present = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-        return F.struct(F.lit(kind).alias("type"), present.alias("energyData"))
+    def leaf(kind: str, metrics: list[str]) -> str:
+        pairs = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
+        return (
+            f"named_struct('type', '{kind}', 'energyData', "
+            f"map_filter(map({pairs}), (name, value) -> value IS NOT NULL))"
+        )
 
-    energies = F.array(
-        *[
-            F.struct(
-                F.lit(energy).alias("energy"),
-                F.array(*[leaf(kind, metrics) for kind, metrics in kinds.items()]).alias("energyTypes"),
-            )
-            for energy, kinds in layout.energies().items()
-        ]
-    )
+    def energy(name: str, kinds: dict[str, list[str]]) -> str:
+        types = ", ".join(leaf(kind, metrics) for kind, metrics in kinds.items())
+        return f"named_struct('energy', '{name}', 'energyTypes', array({types}))"
+
+    energies = ", ".join(energy(name, kinds) for name, kinds in layout.energies().items())
     one_year = F.struct(
         F.col("year"),
         F.struct(*layout.details).alias("countryDetails"),
         F.struct(*layout.totals).alias("countryEnergyData"),
-        energies.alias("listOfEnergyData"),
+        F.expr(f"array({energies})").alias("listOfEnergyData"),
     )
     return panel.groupBy(F.col("entity").alias("country")).agg(
         sort_by_field(F.collect_list(one_year), "year").alias("yearlyData")

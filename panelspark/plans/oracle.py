@@ -383,12 +383,17 @@ ORACLE: dict[str, str] = {
         PANEL,
     ),
     "falling_pairs_docs": _sql(
-        """SELECT a.entity, a.year, a.gdp_ma FROM averages a
-        LEFT JOIN averages b ON a.entity = b.entity AND b.year = a.year - 1
-        LEFT JOIN averages c ON a.entity = c.entity AND c.year = a.year + 1
+        """SELECT a.entity, a.year, a.gdp_ma FROM known_averages a
+        LEFT JOIN known_averages b ON a.entity = b.entity AND b.year = a.year - 1
+        LEFT JOIN known_averages c ON a.entity = c.entity AND c.year = a.year + 1
         WHERE (b.urgent_ma > a.urgent_ma OR a.urgent_ma > c.urgent_ma) AND a.gdp_ma IS NOT NULL""",
         PANEL,
-        _AVERAGES,
+        f"""known_averages AS (
+          SELECT * FROM (
+            SELECT entity, year, {_moving("urgent")} AS urgent_ma, {_moving("gdp")} AS gdp_ma,
+              row_number() OVER (PARTITION BY entity ORDER BY year) AS place
+            FROM panel WHERE urgent IS NOT NULL)
+          WHERE place >= 3)""",
     ),
     "adjacent_pairs": _sql(
         """SELECT c.entity, c.year, (CASE WHEN p.entity IS NULL THEN 1 ELSE 2 END)::INT AS members,

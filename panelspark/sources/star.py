@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions import percent
 from panelspark.operators.documents import DocumentLayout
 from panelspark.operators.trade import tag_sides
 from panelspark.sources.tables import load
@@ -88,62 +87,63 @@ def customer_years(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, directory: str) -> DataFrame:
-    """Entity-year panel of nations and, like any published panel, of aggregates (regions)."""
-    orders = load(spark, directory, "orders")
-    customer = load(spark, directory, "customer")
-    nation = load(spark, directory, "nation")
-    region = load(spark, directory, "region")
-
-    price = cents("o_totalprice")
-    of_class = {c: F.col("o_orderpriority") == F.lit(text) for c, text in CLASSES.items()}
-    amounts = ["gdp", "orders", *CLASSES, *(f"{c}_orders" for c in CLASSES), "large"]
-
-    # One row per (customer, year) first: it bounds a hot customer, and makes the number of
-    # distinct customers per nation and year a plain count.
-    by_customer = orders.groupBy("o_custkey", F.year("o_orderdate").cast("int").alias("year")).agg(
-        F.sum(price).alias("gdp"),
-        F.count(F.lit(1)).cast("double").alias("orders"),
-        *[F.sum(F.when(hit, price)).alias(c) for c, hit in of_class.items()],
-        *[F.count(F.when(hit, 1)).cast("double").alias(f"{c}_orders") for c, hit in of_class.items()],
-        F.sum(F.when(price > LARGE_ORDER_CENTS, price)).alias("large"),
-    )
-    by_nation = (
-        by_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", "year")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("population"),
-            *[F.sum(m).alias(m) for m in amounts],
-        )
-    )
-    named = (
-        by_nation.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .withColumn(
-            "member",
-            F.explode(
-                F.array(
-                    F.struct(
-                        F.col("n_name").alias("entity"), F.col("n_nationkey").cast("string").alias("code")
-                    ),
-                    F.struct(
-                        F.col("r_name").alias("entity"),
-                        F.concat(F.lit("OWID_"), "r_name").alias("code"),
-                    ),
-                )
-            ),
+    """Entity-year panel of nations and, like any published panel, of aggregates (regions).
+
+    The first grouping leaves one row per (customer, year): it bounds a hot customer, and makes
+    the number of distinct customers per nation and year a plain count.  The regions are summed
+    from the nations' rows, not from a second scan.
+    """
+    sums = ["gdp", "orders", *CLASSES, *(f"{c}_orders" for c in CLASSES), "large"]
+    classes = [
+        f"sum(CASE WHEN o_orderpriority = '{text}' THEN cents END) AS {c}, "
+        f"CAST(count(CASE WHEN o_orderpriority = '{text}' THEN 1 END) AS DOUBLE) AS {c}_orders"
+        for c, text in CLASSES.items()
+    ]
+    shares = [
+        f"try_divide(100D * {part}, {whole}) AS {c}_share_{kind}"
+        for kind, suffix, whole in (("value", "", "gdp"), ("orders", "_orders", "orders"))
+        for c, part in ((c, f"{c}{suffix}") for c in CLASSES)
+    ]
+    return spark.sql(
+        f"""
+        WITH order_cents AS (
+          SELECT o_custkey, year(o_orderdate) AS year, o_orderpriority,
+                 rint(o_totalprice * 100) AS cents
+          FROM {{orders}}
+        ),
+        by_customer AS (
+          SELECT o_custkey, year, sum(cents) AS gdp, CAST(count(*) AS DOUBLE) AS orders,
+                 {", ".join(classes)},
+                 sum(CASE WHEN cents > {LARGE_ORDER_CENTS} THEN cents END) AS large
+          FROM order_cents GROUP BY o_custkey, year
+        ),
+        by_nation AS (
+          SELECT c_nationkey, year, CAST(count(*) AS DOUBLE) AS population,
+                 {", ".join(f"sum({m}) AS {m}" for m in sums)}
+          FROM by_customer JOIN {{customer}} ON o_custkey = c_custkey
+          GROUP BY c_nationkey, year
+        ),
+        members AS (
+          SELECT by_nation.*, inline(array(
+                   struct(n_name AS entity, CAST(n_nationkey AS STRING) AS code),
+                   struct(r_name AS entity, 'OWID_' || r_name AS code)))
+          FROM by_nation JOIN {{nation}} ON c_nationkey = n_nationkey
+          JOIN {{region}} ON n_regionkey = r_regionkey
+        ),
+        by_entity AS (
+          SELECT entity, code, year, sum(population) AS population,
+                 {", ".join(f"sum({m}) AS {m}" for m in sums)}
+          FROM members GROUP BY entity, code, year
         )
+        SELECT entity, code, year, population, gdp, orders, {", ".join(CLASSES)}, large,
+               {", ".join(shares)}
+        FROM by_entity
+        """,
+        orders=load(spark, directory, "orders"),
+        customer=load(spark, directory, "customer"),
+        nation=load(spark, directory, "nation"),
+        region=load(spark, directory, "region"),
     )
-    return (
-        named.groupBy(
-            F.col("member.entity").alias("entity"), F.col("member.code").alias("code"), "year"
-        )
-        .agg(*[F.sum(m).alias(m) for m in ("population", *amounts)])
-        .select(
-            "entity", "code", "year", "population", "gdp", "orders", *CLASSES, "large",
-            *[percent(c, "gdp").alias(f"{c}_share_value") for c in CLASSES],
-            *[percent(f"{c}_orders", "orders").alias(f"{c}_share_orders") for c in CLASSES],
-        )
-    )
 
 
 def trade_side(spark: SparkSession, directory: str, status: str) -> DataFrame:
