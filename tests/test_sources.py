@@ -1,0 +1,63 @@
+"""Reading every format with a fixed schema, and derived tables."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import rows
+from panelspark.sources import schemas
+from panelspark.sources.energy import FlatTables, reader
+from panelspark.sources.tables import load, save_derived, save_view, shared_directory
+
+
+@pytest.mark.parametrize("name", list(schemas.STAR))
+def test_declared_schema_is_the_stored_one(spark, sf_dir, name):
+    stored = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    assert [(f.name, f.dataType) for f in stored] == [(f.name, f.dataType) for f in schemas.STAR[name]]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "json", "orc"])
+def test_formats_read_the_same(spark, tmp_path, fmt):
+    name = "owid_countryinfo"
+    df = spark.createDataFrame([("A", 2000, 1.5, None), ("B", 2001, None, 2.0)], schemas.TABLES[name])
+    df.write.format(fmt).option("header", True).save(f"{tmp_path}/{name}.{fmt}")
+    got = load(spark, str(tmp_path), name, fmt=fmt)
+    assert got.schema == schemas.TABLES[name]
+    assert rows(got) == rows(df)
+    assert rows(FlatTables(reader(spark, str(tmp_path), fmt)).info().select("entity")) == [("A",), ("B",)]
+
+
+def test_nested_documents_round_trip_through_json(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("A", [(2000, (1.0, 2.0), (3.0, 4.0, 5.0), [("oil", [("share", {"oil_share_energy": 6.0})])])])],
+        schemas.DOCUMENTS["finalOWIDdata"],
+    )
+    df.write.json(f"{tmp_path}/finalOWIDdata.json")
+    assert load(spark, str(tmp_path), "finalOWIDdata", fmt="json").collect() == df.collect()
+
+
+def test_derived_table_is_replaced_and_readable_by_name(spark):
+    first = spark.range(3).withColumn("year", F.lit(1))
+    assert save_derived(first, "derived").count() == 3
+    second = save_derived(spark.range(5).withColumn("year", F.lit(2)), "derived", partition_by=["year"])
+    assert second.columns == ["id", "year"]
+    assert spark.table("derived").count() == 5
+    assert "FileScan" in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_tables_go_to_the_shared_folder(spark):
+    folder = shared_directory(spark)
+    assert folder == spark.conf.get("spark.checkpoint.dir")
+    save_derived(spark.range(1), "shared_check")
+    inside = os.path.join(folder, "derived", spark.sparkContext.applicationId, "shared_check")
+    assert os.path.isdir(inside)
+
+
+def test_view_is_evaluated_anew(spark):
+    save_view(spark.range(4), "four")
+    assert spark.sql("SELECT count(*) AS n FROM four").first().n == 4
+
+
+def test_energy_metrics_are_complete():
+    assert len(schemas.ENERGY_LEAVES) + len(schemas.ENERGY_TOTALS) + 1 == 58
