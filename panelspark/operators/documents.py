@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import first_metric, metric_entries, month_number, sort_by_field
@@ -83,6 +83,40 @@ def metric_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def _plain_fields(docs: DataFrame) -> dict[str, str]:
+    """Metric -> path of the metrics that are plain fields of a year."""
+    year = docs.schema["yearlyData"].dataType.elementType
+    return {
+        name: f"yearlyData.{part}.{name}"
+        for part in ("countryDetails", "countryEnergyData")
+        if part in year.names
+        for name in year[part].dataType.names
+    }
+
+
+def year_arrays(docs: DataFrame, metrics: Sequence[str], energies: bool = False) -> DataFrame:
+    """(entity, years): per year a struct of ``year``, the plain ``metrics``, and ``energies``.
+
+    ``energies`` is there if a sparse metric is among the metrics, or if asked for.  The fields
+    are taken by path before anything is unnested, so a columnar scan reads just those.
+    """
+    plain = _plain_fields(docs)
+    paths = {"year": "yearlyData.year", **{m: plain[m] for m in metrics if m in plain}}
+    if energies or any(m not in plain for m in metrics):
+        paths["energies"] = "yearlyData.listOfEnergyData"
+    fields = docs.select(
+        F.col("country").alias("entity"), *[F.col(path).alias(name) for name, path in paths.items()]
+    )
+    return fields.select("entity", F.arrays_zip(*paths).alias("years"))
+
+
+def metric_of(docs: DataFrame, year: Column, metric: str) -> Column:
+    """``metric`` of one element of :func:`year_arrays`, plain or sparse."""
+    if metric in _plain_fields(docs):
+        return year[metric]
+    return first_metric(metric_entries(year["energies"]), metric)
+
+
 def panel_slice_docs(
     docs: DataFrame,
     metrics: Sequence[str],
@@ -96,27 +130,15 @@ def panel_slice_docs(
     A metric that is a plain field of a year is read by path; any other is the first value found
     under that key among all energies and types, NULL where no object has the key.
     """
-    year_type = docs.schema["yearlyData"].dataType.elementType
-    plain = {
-        name: f"y.{part}.{name}"
-        for part in ("countryDetails", "countryEnergyData")
-        if part in year_type.names
-        for name in year_type[part].dataType.names
-    }
-    rows = keep(docs.withColumnRenamed("country", "entity"), entities).select(
-        "entity", F.explode("yearlyData").alias("y")
-    )
-    rows = keep(rows.withColumn("year", F.col("y.year")), None, since, until, years)
-    sparse = [m for m in metrics if m not in plain]
-    if sparse:
-        rows = rows.withColumn("leaves", metric_entries(F.col("y.listOfEnergyData")))
-    return rows.select(
+    rows = keep(year_arrays(docs, metrics), entities).select("entity", F.inline("years"))
+    rows = keep(rows, None, since, until, years)
+    if "energies" not in rows.columns:
+        return rows.select("entity", F.col("year").cast("int").alias("year"), *metrics)
+    plain = set(rows.columns)
+    return rows.withColumn("leaves", metric_entries(F.col("energies"))).select(
         "entity",
         F.col("year").cast("int").alias("year"),
-        *[
-            F.col(plain[m]).alias(m) if m in plain else first_metric(F.col("leaves"), m).alias(m)
-            for m in metrics
-        ],
+        *[F.col(m) if m in plain else first_metric(F.col("leaves"), m).alias(m) for m in metrics],
     )
 
 

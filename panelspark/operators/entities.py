@@ -59,7 +59,7 @@ def full_coverage(panel: DataFrame, master: DataFrame) -> DataFrame:
 
 def year_span_docs(docs: DataFrame) -> DataFrame:
     """:func:`year_span` without unnesting: each document gives its own first and last year."""
-    years = F.transform("yearlyData", lambda y: y["year"])
+    years = F.col("yearlyData.year")
     return docs.agg(*_span(F.min(F.array_min(years)), F.max(F.array_max(years))))
 
 

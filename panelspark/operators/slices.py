@@ -7,13 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import (
-    first_metric,
-    metric_entries,
-    null_strict_sum,
-    percent,
-    safe_ratio,
-)
+from panelspark.functions import null_strict_sum, percent, safe_ratio
+from panelspark.operators.documents import metric_of, year_arrays
 from panelspark.operators.selection import Cohort, keep
 
 Pair = tuple[Column | str, Column | str]
@@ -62,14 +57,14 @@ def new_sources_docs(
     ``key_pattern`` is taken; energies without a value, with 0, or listed in ``excluded`` are left
     out.
     """
-    years = keep(docs.withColumnRenamed("country", "entity"), entities).select(
-        "entity", F.explode("yearlyData").alias("y")
+    years = keep(year_arrays(docs, [crossing_metric], energies=True), entities).select(
+        "entity", F.explode("years").alias("y")
     )
     crossing = years.select(
         "entity",
         F.col("y.year").cast("int").alias("year"),
-        first_metric(metric_entries(F.col("y.listOfEnergyData")), crossing_metric).alias("crossing_share"),
-        F.col("y.listOfEnergyData").alias("energies"),
+        metric_of(docs, F.col("y"), crossing_metric).alias("crossing_share"),
+        F.col("y.energies").alias("energies"),
     ).filter(F.col("crossing_share") < limit)
 
     of_kind = F.get(F.filter("e.energyTypes", lambda t: t["type"] == kind), F.lit(0))["energyData"]

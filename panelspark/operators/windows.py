@@ -11,14 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import (
-    first_metric,
-    metric_entries,
-    period_label,
-    sort_by_field,
-    window_frames,
-)
+from panelspark.functions import period_label, window_frames
 from panelspark.functions.nested import array_mean
+from panelspark.operators.documents import metric_of, year_arrays
 from panelspark.operators.selection import Cohort, keep
 
 
@@ -91,15 +86,15 @@ def moving_average_docs(
 ) -> DataFrame:
     """The moving average computed inside the year array of each document.
 
-    Years without the ``required`` sparse metric are dropped first and the frames slide over what
+    Years without the ``required`` metric are dropped first and the frames slide over what
     is left.  Value and year stay in one struct, so a period cannot shift against its value.
     """
 
     def year_value(y: Column) -> Column:
         return F.struct(
             y["year"].alias("year"),
-            first_metric(metric_entries(y["listOfEnergyData"]), required).alias("value"),
-            *[y["countryDetails"][d].alias(d) for d in details],
+            metric_of(docs, y, required).alias("value"),
+            *[metric_of(docs, y, d).alias(d) for d in details],
         )
 
     def usable(x: Column) -> Column:
@@ -120,9 +115,8 @@ def moving_average_docs(
             *[mean_of(frame, d).alias(f"{d}_ma") for d in details],
         )
 
-    series = keep(docs.withColumnRenamed("country", "entity"), entities).select(
-        "entity",
-        sort_by_field(F.filter(F.transform("yearlyData", year_value), usable), "year").alias("series"),
+    series = keep(year_arrays(docs, [required, *details]), entities).select(
+        "entity", F.array_sort(F.filter(F.transform("years", year_value), usable)).alias("series")
     )
     frames = series.select("entity", F.explode(window_frames(F.col("series"), n, average)).alias("f"))
     return frames.select(

@@ -24,7 +24,7 @@ from panelspark.operators import (
     windows,
 )
 from panelspark.sources import star
-from panelspark.sources.tables import save_derived
+from panelspark.sources.tables import materialise, save_derived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +68,7 @@ def _household_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The panel written once, for queries that read it more than once."""
-    return save_derived(star.panel(spark, sf), "panel")
+    return materialise(star.panel(spark, sf))
 
 
 # Entities and coverage
@@ -80,9 +80,9 @@ def entity_master(spark, sf):
 
 def derived_roundtrip(spark, sf):
     """Written, read back through its view name, and summarised."""
-    _stored_panel(spark, sf)
+    save_derived(star.panel(spark, sf), "derived_panel")
     return (
-        spark.table("panel")
+        spark.table("derived_panel")
         .groupBy("entity")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("gdp").alias("gdp"), F.sum("large").alias("large"))
     )
@@ -475,7 +475,7 @@ def topk_vs_benchmark(spark, sf):
 
 
 def topk_rows_docs(spark, sf):
-    docs = save_derived(_docs(spark, sf), "country_documents")
+    docs = materialise(_docs(spark, sf))
     metrics = ["gdp", "population", "orders", "low"]
     rows = documents.panel_slice_docs(docs, metrics)
     return cohorts.topk_rows(rows, _cohort(rows, _master(spark, sf)), ["low", _per_capita()], 1996)

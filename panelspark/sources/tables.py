@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -49,6 +50,18 @@ def shared_directory(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"panelspark-{spark.sparkContext.applicationId}")
 
 
+def _derived_directory(spark: SparkSession) -> str:
+    return os.path.join(shared_directory(spark), "derived", spark.sparkContext.applicationId)
+
+
+def _written(df: DataFrame, path: str, partition_by: list[str] | None) -> DataFrame:
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def save_derived(
     df: DataFrame, name: str, partition_by: list[str] | None = None, directory: str | None = None
 ) -> DataFrame:
@@ -57,20 +70,22 @@ def save_derived(
     The scan also becomes the temp view ``name``, so later SQL can use it as a source.  The
     written table survives lost executors and cuts the lineage of everything built on it.
     """
-    spark = df.sparkSession
-    base = directory or os.path.join(
-        shared_directory(spark), "derived", spark.sparkContext.applicationId
-    )
-    path = os.path.join(base, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    derived = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    path = os.path.join(directory or _derived_directory(df.sparkSession), name)
+    derived = _written(df, path, partition_by)
     derived.createOrReplaceTempView(name)
     return derived
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once under a name of its own and return a scan of it.
+
+    For plans that read the same derived table several times: its inputs are scanned once, and a
+    lost executor costs a re-read of the written table, not a recomputation.
+    """
+    path = os.path.join(_derived_directory(df.sparkSession), f"once-{uuid.uuid4().hex}")
+    return _written(df, path, None)
+
+
 def save_view(df: DataFrame, name: str) -> DataFrame:
     """Register ``df`` as a view: evaluated anew by each query that reads it."""
     df.createOrReplaceTempView(name)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from helpers import final_plan, plan, rows, same
+from panelspark.operators import documents, entities
 from panelspark.operators.cohorts import rank_entities, topk_rows
+from panelspark.operators.windows import negative_change_pairs
 from panelspark.sources import star
 from panelspark.sources.schemas import STAR
-from panelspark.sources.tables import load, save_derived
+from panelspark.sources.tables import load, materialise, save_derived
 
 HOT = 7
 
@@ -117,8 +119,26 @@ def test_top_k_is_not_a_full_sort(spark, sf_dir):
 
 
 def test_pairs_need_one_shuffle_of_a_stored_panel(spark, sf_dir):
-    from panelspark.operators.windows import negative_change_pairs
-
     stored = save_derived(star.panel(spark, sf_dir), "pairs_panel")
     text = plan(negative_change_pairs(stored, "urgent", "gdp", 3))
     assert text.count("Exchange") == 1 and text.count("Sort ") == 1
+
+
+def read_schema(df):
+    """ReadSchema of the scan, untruncated."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        return plan(df.select("*"))
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+
+
+def test_documents_are_read_by_nested_column(spark, sf_dir):
+    docs = materialise(documents.to_documents(star.panel(spark, sf_dir), star.PANEL_LAYOUT))
+    sliced = documents.panel_slice_docs(docs, ["gdp"], ["ASIA"], since=1996)
+
+    assert "EqualTo(country,ASIA)" in plan(sliced)
+    assert "array<struct<year:int,countryDetails:struct<gdp:double>>>" in read_schema(sliced)
+    assert "struct<yearlyData:array<struct<year:int>>>" in read_schema(entities.year_span_docs(docs))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helpers import rows
 from panelspark.sources import schemas
 from panelspark.sources.energy import FlatTables, reader
-from panelspark.sources.tables import load, save_derived, save_view, shared_directory
+from panelspark.sources.tables import load, materialise, save_derived, save_view, shared_directory
 
 
 @pytest.mark.parametrize("name", list(schemas.STAR))
@@ -54,6 +54,11 @@ def test_derived_tables_go_to_the_shared_folder(spark):
     assert os.path.isdir(inside)
 
 
+def test_materialised_tables_do_not_collide(spark):
+    first, second = materialise(spark.range(2)), materialise(spark.range(3))
+    assert (first.count(), second.count()) == (2, 3)
+
+
 def test_view_is_evaluated_anew(spark):
     save_view(spark.range(4), "four")
     assert spark.sql("SELECT count(*) AS n FROM four").first().n == 4
