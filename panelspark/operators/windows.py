@@ -130,13 +130,16 @@ def moving_average_docs(
 def adjacent_pairs(df: DataFrame, key: str, period: str, columns: Sequence[str]) -> DataFrame:
     """Each row with the row exactly one period earlier, as an array ordered by period.
 
-    The frame goes by value distance: after a gap the array holds the current row only.
+    The distance is that of the values, not of the rows: after a gap the array holds the current
+    row only.  With one row per period the frame ``[period - 1, period]`` can only hold the
+    previous row and this one, so a look at the previous row replaces collecting the frame.
     """
-    frame = _by_year(key, period).rangeBetween(-1, Window.currentRow)
-    item = F.struct(period, *columns)
-    return df.select(
-        key, period, F.array_sort(F.collect_list(item).over(frame)).alias("pair")
-    )
+    current = F.struct(period, *columns)
+    previous = F.lag(current).over(_by_year(key, period))
+    rows = df.select(key, period, current.alias("current"), previous.alias("previous"))
+    is_adjacent = F.col(f"previous.{period}") == F.col(period) - 1
+    pair = F.when(is_adjacent, F.array("previous", "current")).otherwise(F.array("current"))
+    return rows.select(key, period, pair.alias("pair"))
 
 
 def falling_pairs(

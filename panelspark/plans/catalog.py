@@ -115,7 +115,7 @@ def full_coverage(spark, sf):
 
 def full_coverage_docs(spark, sf):
     master = entities.entity_master(star.customer_entities(spark, sf))
-    covered = entities.full_coverage_docs(_customer_docs(spark, sf), master)
+    covered = entities.full_coverage_docs(materialise(_customer_docs(spark, sf)), master)
     return covered.select("entity", F.posexplode("yearlyData").alias("position", "y")).select(
         "entity", "position", "y.year", F.col("y.countryDetails.population").alias("orders")
     )

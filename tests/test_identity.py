@@ -85,16 +85,14 @@ def test_moments_equal_fan_out_join(spark, sf_dir, panel, exposed):
     assert same(rows(ours), rows(literal))
 
 
-def test_adjacent_pairs_equal_lag_on_consecutive_years(spark, sf_dir):
+def test_adjacent_pairs_equal_the_range_frame(spark, sf_dir):
     p = star.customer_years(spark, sf_dir)
-    w = Window.partitionBy("entity").orderBy("year")
+    frame = Window.partitionBy("entity").orderBy("year").rangeBetween(-1, 0)
     literal = p.select(
         "entity", "year",
-        F.when(F.lag("year").over(w) == F.col("year") - 1, 2).otherwise(1).alias("members"),
+        F.array_sort(F.collect_list(F.struct("year", "gdp")).over(frame)).alias("pair"),
     )
-    ours = windows.adjacent_pairs(p, "entity", "year", ["gdp"]).select(
-        "entity", "year", F.size("pair").alias("members")
-    )
+    ours = windows.adjacent_pairs(p, "entity", "year", ["gdp"])
     assert rows(ours) == rows(literal)
 
 
