@@ -75,7 +75,9 @@ def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_master(spark, sf):
-    return _master(spark, sf)
+    """The real ones among nations, aggregates and customers."""
+    everyone = star.entities(spark, sf).unionByName(star.customer_members(spark, sf))
+    return entities.entity_master(everyone)
 
 
 def derived_roundtrip(spark, sf):

@@ -264,7 +264,13 @@ _IMPACT_AVERAGES = """round(avg(displacements), 4) AS avg_displacements,
       round(avg(gdp / nullif(population, 0)), 4) AS avg_gdp_per_capita"""
 
 ORACLE: dict[str, str] = {
-    "entity_master": _sql("SELECT entity, code, continent FROM master", ENTITIES),
+    "entity_master": _sql(
+        """SELECT entity, code, continent FROM master
+        UNION ALL
+        SELECT c_name, c_custkey::VARCHAR, r_name
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+        ENTITIES,
+    ),
     "derived_roundtrip": _sql(
         """SELECT entity, count(*) AS n_rows, sum(gdp) AS gdp, sum(large) AS large
         FROM panel GROUP BY entity""",

@@ -59,8 +59,8 @@ STAR: dict[str, StructType] = {
     ),
 }
 
-# Column names of the energy panel and its companion tables.
-# The metric families are "<source>_<measure>".
+# Names of the tables and their columns, so that data published under these names
+# reads as it is.  The metric families are "<source>_<measure>".
 _CONSUMPTION = (
     "oil", "coal", "gas", "fossil_fuel", "renewables", "other_renewable", "low_carbon",
     "biofuel", "solar", "wind", "hydro", "nuclear",
@@ -144,7 +144,7 @@ PANEL_TABLES: dict[str, StructType] = {
     ),
 }
 
-# Field names of the nested documents.
+# Names of the document collections and their fields.
 ENERGY_TYPE = _struct(
     ("type", StringType()), ("energyData", MapType(StringType(), DoubleType(), True))
 )

@@ -66,6 +66,22 @@ def entities(spark: SparkSession, directory: str) -> DataFrame:
     return nations.unionByName(by_name).unionByName(by_code)
 
 
+def customer_members(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers as entities of the continent (region) of their nation."""
+    customer = load(spark, directory, "customer")
+    nation = load(spark, directory, "nation")
+    region = load(spark, directory, "region")
+    return (
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.col("c_name").alias("entity"),
+            F.col("c_custkey").cast("string").alias("code"),
+            F.col("r_name").alias("continent"),
+        )
+    )
+
+
 def customer_entities(spark: SparkSession, directory: str) -> DataFrame:
     """Entity master over customers: as many entities as the data has customers."""
     return load(spark, directory, "customer").select(
