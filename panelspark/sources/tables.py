@@ -63,17 +63,34 @@ def _written(df: DataFrame, path: str, partition_by: list[str] | None) -> DataFr
 
 
 def save_derived(
-    df: DataFrame, name: str, partition_by: list[str] | None = None, directory: str | None = None
+    df: DataFrame,
+    name: str,
+    partition_by: list[str] | None = None,
+    directory: str | None = None,
+    buckets: int | None = None,
+    bucket_by: str = "entity",
 ) -> DataFrame:
     """Write ``df`` once, replace what was there, and return a scan of the written table.
 
-    The scan also becomes the temp view ``name``, so later SQL can use it as a source.  The
-    written table survives lost executors and cuts the lineage of everything built on it.
+    The scan is also known by ``name`` to later SQL.  The written table survives lost executors
+    and cuts the lineage of everything built on it.
+
+    With ``buckets`` the rows of one ``bucket_by`` value lie in one bucket: later windows,
+    groupings and joins on that column read the table without another shuffle.  Meant for panels,
+    where one entity has at most one row per year.
     """
-    path = os.path.join(directory or _derived_directory(df.sparkSession), name)
-    derived = _written(df, path, partition_by)
-    derived.createOrReplaceTempView(name)
-    return derived
+    spark = df.sparkSession
+    path = os.path.join(directory or _derived_directory(spark), name)
+    if buckets is None:
+        derived = _written(df, path, partition_by)
+        derived.createOrReplaceTempView(name)
+        return derived
+    spark.catalog.dropTempView(name)
+    writer = df.repartition(buckets, bucket_by).write.mode("overwrite").format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.bucketBy(buckets, bucket_by).option("path", path).saveAsTable(name)
+    return spark.table(name).select(*df.columns)
 
 
 def materialise(df: DataFrame) -> DataFrame:

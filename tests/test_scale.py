@@ -1,5 +1,6 @@
 """Plans and skew: what has to hold for the queries to work on a cluster."""
 
+import pathlib
 import re
 
 import duckdb
@@ -55,6 +56,14 @@ def without_broadcast(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_library_stays_on_the_cluster():
+    """Nothing in the library brings rows to the driver, to Python, or to one machine's disk."""
+    root = pathlib.Path(entry.__file__).parent / "panelspark"
+    forbidden = r"\.collect\(|toPandas|toLocalIterator|\budf\b|pandas_udf|\.rdd\b|localCheckpoint|crossJoin|broadcast\("
+    for file in root.rglob("*.py"):
+        assert not re.search(forbidden, file.read_text()), file
+
+
 @pytest.mark.parametrize("key", list(entry.queries()))
 def test_plan_has_no_cross_join_python_or_global_window(spark, sf_dir, key):
     text = plan(entry.queries()[key](spark, sf_dir))
@@ -93,6 +102,21 @@ def test_hot_customer_reaches_the_join_as_one_row_per_year(spark, skewed_dir):
     assert years.filter(F.col("entity") == HOT).count() <= 7
 
 
+def test_bucketed_panel_needs_no_shuffle(spark, sf_dir):
+    years = star.customer_years(spark, sf_dir)
+    stored = save_derived(years, "bucketed_years", buckets=8)
+    assert rows(stored) == rows(years)
+    pairs = negative_change_pairs(stored, "gdp", "population", 2)
+    assert "Exchange" not in plan(pairs)
+    assert rows(pairs) == rows(negative_change_pairs(years, "gdp", "population", 2))
+    covered = stored.groupBy("entity").agg(F.count("year").alias("n"))
+    assert "Exchange" not in plan(covered)
+    documents_ = documents.to_documents(
+        stored, documents.DocumentLayout(("gdp",), ("population",), {"gdp": ("orders", "value")})
+    )
+    assert "Exchange" not in plan(documents_)
+
+
 def test_raw_fact_join_is_split_when_skewed(spark, skewed_dir, without_broadcast):
     assert "skew=true" in final_plan(star.trade(spark, skewed_dir))
 
