@@ -66,9 +66,9 @@ def _household_docs(spark: SparkSession, sf: str) -> DataFrame:
     return documents.household_documents(star.household(spark, sf), star.town_gas(spark, sf))
 
 
-def _stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+def _stored_panel(spark: SparkSession, sf: str, since: int | None = None) -> DataFrame:
     """The panel written once, for queries that read it more than once."""
-    return materialise(star.panel(spark, sf))
+    return materialise(star.panel(spark, sf, since))
 
 
 # Entities and coverage
@@ -128,7 +128,7 @@ def full_coverage_docs(spark, sf):
 
 def panel_slice(spark, sf):
     return slices.panel_slice(
-        star.panel(spark, sf), SLICE_METRICS, entities=AGGREGATES, since=1996, until=2000
+        star.panel(spark, sf, 1996, 2000), SLICE_METRICS, entities=AGGREGATES, since=1996, until=2000
     )
 
 
@@ -180,7 +180,7 @@ def class_totals_docs(spark, sf):
 
 def cohort_average(spark, sf):
     return aggregates.cohort_average(
-        star.panel(spark, sf), "gdp", _master(spark, sf), since=1996, until=2001
+        star.panel(spark, sf, 1996, 2001), "gdp", _master(spark, sf), since=1996, until=2001
     )
 
 
@@ -190,7 +190,7 @@ def cohort_average_docs(spark, sf):
 
 
 def two_sided_average(spark, sf):
-    return trade.two_sided_average(star.trade_from_sides(spark, sf))
+    return trade.two_sided_average(star.trade(spark, sf))
 
 
 def two_sided_average_docs(spark, sf):
@@ -209,7 +209,7 @@ def period_average_docs(spark, sf):
 
 
 def yearly_totals(spark, sf):
-    return trade.yearly_totals(star.trade(spark, sf), since=1996)
+    return trade.yearly_totals(star.trade(spark, sf, 1996), since=1996)
 
 
 def yearly_totals_docs(spark, sf):
@@ -217,7 +217,7 @@ def yearly_totals_docs(spark, sf):
 
 
 def yearly_balance(spark, sf):
-    return trade.yearly_balance(star.trade(spark, sf), since=1996)
+    return trade.yearly_balance(star.trade(spark, sf, 1996), since=1996)
 
 
 def yearly_balance_docs(spark, sf):
@@ -245,7 +245,8 @@ def continent_average(spark, sf):
 
 
 def emission_shares(spark, sf):
-    return aggregates.emission_shares(star.emissions(spark, sf), ["coal", "gas", "oil"], after=1995)
+    emissions = star.emissions(spark, sf, 1996)
+    return aggregates.emission_shares(emissions, ["coal", "gas", "oil"], after=1995)
 
 
 def average_of_shares(spark, sf):
@@ -348,7 +349,7 @@ def scaled_bars(spark, sf):
 
 
 def matched_difference(spark, sf):
-    return trade.matched_difference(star.trade_from_sides(spark, sf))
+    return trade.matched_difference(star.trade(spark, sf))
 
 
 def matched_difference_docs(spark, sf):
@@ -362,10 +363,10 @@ def matched_difference_docs(spark, sf):
 
 def align_inner(spark, sf):
     year = F.year("recorded").cast("int")
-    measured = star.ordered(spark, sf).filter((F.col("value") != 0) & (year > 1995))
+    measured = star.ordered(spark, sf, 1996).filter((F.col("value") != 0) & (year > 1995))
     temperatures = impact.by_period(measured, year, avg_temp=F.avg("value"))
     gases = (
-        star.emissions(spark, sf)
+        star.emissions(spark, sf, 1996)
         .filter(F.col("year") > 1995)
         .groupBy(F.col("year").alias("period"))
         .agg(F.sum("ghg").alias("total_ghg"))
@@ -384,7 +385,7 @@ def align_left(spark, sf):
 
 
 def align_two_key(spark, sf):
-    facts = star.customer_facts(spark, sf)
+    facts = star.customer_facts(spark, sf, 1996)
     damages = facts.groupBy("entity", "year").agg(F.sum("cents").alias("damage"))
     deaths = facts.filter(F.col("type") == "F").groupBy("entity", "year").agg(F.sum("cents").alias("deaths"))
     return impact.align_two_key(damages, deaths, "damage", "deaths", since=1996)
@@ -438,7 +439,7 @@ def loss_above_average(spark, sf):
 
 def rank_entities(spark, sf):
     ranked = cohorts.rank_entities(
-        star.panel(spark, sf), safe_ratio("gdp", "population"), _master(spark, sf), since=1996
+        star.panel(spark, sf, 1996), safe_ratio("gdp", "population"), _master(spark, sf), since=1996
     )
     return _rounded(ranked, "avg_score")
 
@@ -457,7 +458,7 @@ def topk_rows(spark, sf):
 
 
 def topk_yearly(spark, sf):
-    panel = _stored_panel(spark, sf)
+    panel = _stored_panel(spark, sf, 1996)
     cohort = cohorts.rank_entities(
         panel, F.col("low_share_value"), _master(spark, sf), since=1996,
         require=["gdp", "large"], k=5,

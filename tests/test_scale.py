@@ -126,6 +126,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     lineitem = next(line for line in text.splitlines() if "FileScan" in line and "l_quantity" in line)
     assert "l_extendedprice" not in lineitem and "l_linestatus" in lineitem
     assert "EqualTo(l_linestatus,O)" in text
+    ranged = read_schema(star.panel(spark, sf_dir, 1996, 2000))
+    assert "GreaterThanOrEqual(o_orderdate,1996-01-01T00:00)" in ranged
+    assert "LessThan(o_orderdate,2001-01-01T00:00)" in ranged
     stored = save_derived(star.panel(spark, sf_dir), "scan_panel", partition_by=["year"])
     sliced = plan(stored.filter((F.col("year") >= 2000) & F.col("entity").isin("ASIA")).select("entity", "gdp"))
     scan = next(line for line in sliced.splitlines() if "FileScan" in line)
