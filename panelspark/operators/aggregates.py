@@ -40,16 +40,20 @@ def annual_totals(household: DataFrame) -> DataFrame:
     )
 
 
-def period_average(household: DataFrame) -> DataFrame:
-    """Yearly average per region, sorted."""
+def regional_averages(household: DataFrame) -> DataFrame:
+    """Yearly average per region, in no order: the input of further steps."""
     return (
         annual_totals(household)
         .groupBy("region", "year")
         .agg(F.avg("kwh_per_acc").alias("yearly_avg"))
-        .orderBy("region", "year")
     )
 
 
+def period_average(household: DataFrame) -> DataFrame:
+    """The report of :func:`regional_averages`, sorted."""
+    return regional_averages(household).orderBy("region", "year")
+
+
 def annual_rows_docs(docs: DataFrame) -> DataFrame:
     """(region, year, value) of the total month and total category of each year document."""
     total_month = F.get(F.filter("monthlyHouseholdConsumption", lambda m: m["is_total"]), F.lit(0))

@@ -174,6 +174,21 @@ def trade_rows(docs: DataFrame) -> DataFrame:
     ).filter(F.col("value").isNotNull())
 
 
+def split_months(docs: DataFrame) -> DataFrame:
+    """Year documents whose ``month`` is a number or ``Annual`` -> month number and total flag."""
+
+    def month(m: Column) -> Column:
+        return F.struct(
+            month_number(m["month"]).alias("month_num"),
+            F.coalesce(m["month"] == "Annual", F.lit(False)).alias("is_total"),
+            m["household_category"].alias("household_category"),
+        )
+
+    return docs.withColumn(
+        "monthlyHouseholdConsumption", F.transform("monthlyHouseholdConsumption", month)
+    )
+
+
 def household_documents(household: DataFrame, gas: DataFrame) -> DataFrame:
     """Electricity and town gas rows -> one document per year: months -> categories -> regions.
 
@@ -181,15 +196,21 @@ def household_documents(household: DataFrame, gas: DataFrame) -> DataFrame:
     months, the housing types and the regions.
     """
     month = F.month(F.try_to_date(F.col("month"), "M/d/yyyy"))
-    electricity = household.filter(F.col("region") == F.col("description")).select(
-        "year",
-        month.alias("month_num"),
-        (F.col("month") == "Annual").alias("is_total"),
-        F.col("dwelling_type").alias("household_type"),
-        F.struct(
-            F.col("region").alias("Region"), F.col("kwh_per_acc").alias("region_kwh_per_acc")
-        ).alias("regional"),
-    )
+    electricity = (
+        household.filter(F.col("region") == F.col("description"))
+        .groupBy(
+            "year",
+            month.alias("month_num"),
+            (F.col("month") == "Annual").alias("is_total"),
+            F.col("dwelling_type").alias("household_type"),
+            "region",
+        )
+        .agg(F.avg("kwh_per_acc").alias("kwh"))
+        .select(
+            "year", "month_num", "is_total", "household_type",
+            F.struct(F.col("region").alias("Region"), F.col("kwh").alias("region_kwh_per_acc")).alias("regional"),
+        )
+    )
     town_gas = gas.select(
         "year",
         month_number("month").alias("month_num"),

@@ -68,17 +68,6 @@ def _continent_of(entities: DataFrame) -> DataFrame:
     return entities.select("entity", "continent")
 
 
-def continent_exposure(exposure: DataFrame, master: DataFrame, value: str) -> DataFrame:
-    """Average share below and above the line per continent of the real entities."""
-    below = F.avg(value)
-    return (
-        exposure.join(_continent_of(master), "entity")
-        .groupBy("continent")
-        .agg(below.alias("below"), (F.lit(100.0) - below).alias("above"))
-        .orderBy(F.desc("below"), "continent")
-    )
-
-
 def _inverse(divisor: str) -> Column:
     return safe_ratio(F.lit(1.0), divisor)
 
@@ -96,6 +85,18 @@ def _mean(total: Column, count: Column) -> Column:
     return safe_ratio(F.sum(total), F.sum(count))
 
 
+def continent_exposure(exposure: DataFrame, master: DataFrame, value: str) -> DataFrame:
+    """Average share below and above the line per continent of the real entities."""
+    below = _mean(F.col("exposed_sum"), F.col("exposed_n"))
+    return (
+        _moments(exposure, "exposure", exposed=F.col(value))
+        .join(_continent_of(master), "entity")
+        .groupBy("continent")
+        .agg(below.alias("below"), (F.lit(100.0) - below).alias("above"))
+        .orderBy(F.desc_nulls_last("below"), "continent")
+    )
+
+
 def continent_impact(
     facts: DataFrame,
     info: DataFrame,

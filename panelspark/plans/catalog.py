@@ -290,7 +290,7 @@ def adjacent_pairs(spark, sf):
 
 
 def yoy_difference(spark, sf):
-    averages = aggregates.period_average(star.household(spark, sf))
+    averages = aggregates.regional_averages(star.household(spark, sf))
     return windows.yoy_difference(averages, "region", "yearly_avg")
 
 

@@ -233,7 +233,7 @@ def q07_surplus_years(t):
 
 
 def q08_regional_average(t):
-    return t.regional_years()
+    return t.regional_years().orderBy("region", "year")
 
 
 def q09_regional_falls(t):

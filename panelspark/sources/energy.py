@@ -13,15 +13,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates, documents, season
+from panelspark.operators.entities import entity_master
 from panelspark.operators.trade import tag_sides
-from panelspark.sources.tables import load
+from panelspark.sources import schemas
+from panelspark.sources.tables import load, save_view
 
 Reader = Callable[[str], DataFrame]
 
 
 def reader(spark: SparkSession, directory: str, fmt: str = "parquet", **options: str) -> Reader:
-    """Tables by name from one folder."""
-    return lambda name: load(spark, directory, name, fmt=fmt, **options)
+    """Tables and documents by name from one folder.
+
+    JSON year documents are read as a document store exports them, with the mixed ``month`` field,
+    and that field is split on the way in.
+    """
+
+    def read(name: str) -> DataFrame:
+        if name == "finalSGYearlyData" and fmt == "json":
+            exported = load(spark, directory, name, schemas.EXPORTED_YEARS, fmt, **options)
+            return documents.split_months(exported)
+        return load(spark, directory, name, fmt=fmt, **options)
+
+    return read
+
+
+def register_views(read: Reader) -> None:
+    """Every flat table under its own name, and the two named views, for plain Spark SQL."""
+    tables = FlatTables(read)
+    for name in schemas.PANEL_TABLES:
+        save_view(read(name), name)
+    real = entity_master(tables.entities())
+    save_view(real.select(F.col("entity").alias("country")), "countrylist")
+    quarters = tables.regional_quarters().withColumnsRenamed(
+        {"region": "Region", "avg_kwh": "avg_kwh_per_acc"}
+    )
+    save_view(quarters, "quart_avg_kwh")
 
 
 def case_insensitive(df: DataFrame, *columns: str) -> DataFrame:
@@ -75,7 +101,7 @@ class FlatTables:
         return self.read("householdtowngasconsumption").withColumnRenamed("avg_mthly_hh_tg_consp_kwh", "kwh")
 
     def regional_years(self) -> DataFrame:
-        return aggregates.period_average(self.household())
+        return aggregates.regional_averages(self.household())
 
     def regional_quarters(self) -> DataFrame:
         return season.quarterly_by_date(self.household())

@@ -167,6 +167,7 @@ _MONTH = _struct(
     ("is_total", BooleanType()),
     ("household_category", ArrayType(_CATEGORY)),
 )
+_EXPORTED_MONTH = _struct(("month", StringType()), ("household_category", ArrayType(_CATEGORY)))
 
 DOCUMENTS: dict[str, StructType] = {
     "finalOWIDdata": _struct(
@@ -181,4 +182,11 @@ DOCUMENTS: dict[str, StructType] = {
     "finalCountries": _table(country="string", iso_code="string"),
 }
 
+# The year documents as a document store exports them: ``month`` is a number or the text "Annual".
+EXPORTED_YEARS = _struct(
+    ("year", IntegerType()),
+    ("energy_products", ArrayType(_PRODUCT)),
+    ("monthlyHouseholdConsumption", ArrayType(_EXPORTED_MONTH)),
+)
+
 TABLES: dict[str, StructType] = {**STAR, **PANEL_TABLES, **DOCUMENTS}

@@ -105,5 +105,5 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def save_view(df: DataFrame, name: str) -> DataFrame:
     """Register ``df`` as a view: evaluated anew by each query that reads it."""
-    df.createOrReplaceTempView(name)
+    df.createOrReplaceTempView(f"`{name}`")
     return df

@@ -1,5 +1,6 @@
 """Reading every format with a fixed schema, and derived tables."""
 
+import json
 import os
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows
 from panelspark.sources import schemas
-from panelspark.sources.energy import FlatTables, reader
+from panelspark.sources.energy import DocumentTables, FlatTables, reader, register_views
 from panelspark.sources.tables import load, materialise, save_derived, save_view, shared_directory
 
 
@@ -66,3 +67,29 @@ def test_view_is_evaluated_anew(spark):
 
 def test_energy_metrics_are_complete():
     assert len(schemas.ENERGY_LEAVES) + len(schemas.ENERGY_TOTALS) + 1 == 58
+
+
+def test_exported_year_documents_with_mixed_months(spark, tmp_path):
+    def month(m, kwh):
+        regions = [{"Region": "East", "region_kwh_per_acc": kwh}, {"Region": "Overall", "region_kwh_per_acc": 99.0}]
+        return {"month": m, "household_category": [{"household_type": "Overall", "regional_elect_data": regions}]}
+
+    months = [month(m, float(m)) for m in range(1, 13)] + [month("Annual", 50.0), month(None, 77.0)]
+    exported = {"year": 2010, "monthlyHouseholdConsumption": months}
+    (tmp_path / "finalSGYearlyData.json").write_text(json.dumps(exported))
+    docs = DocumentTables(reader(spark, str(tmp_path), "json"))
+    assert rows(docs.regional_years(), ["region", "year", "yearly_avg"]) == [("East", 2010, 50.0)]
+    quarters = docs.regional_quarters().filter(F.col("quarter").isNotNull())
+    assert rows(quarters, ["quarter", "avg_kwh"]) == [(1, 2.0), (2, 5.0), (3, 8.0), (4, 11.0)]
+
+
+def test_tables_as_views(spark, tmp_path):
+    for name, schema in schemas.PANEL_TABLES.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    name = "continents-according-to-our-world-in-data"
+    data = [("Japan", "JPN", "Asia"), ("Asia", "OWID_ASI", "Asia")]
+    spark.createDataFrame(data, schemas.TABLES[name]).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    register_views(reader(spark, str(tmp_path)))
+    assert [r.country for r in spark.sql("SELECT * FROM countrylist").collect()] == ["Japan"]
+    assert spark.sql("SELECT year, Region, quarter, avg_kwh_per_acc FROM quart_avg_kwh").count() == 0
+    assert spark.sql(f"SELECT * FROM `{name}` WHERE Continent = 'Asia'").count() == 2
