@@ -204,8 +204,14 @@ def _cover(texts: list[set[str]], least: int, cover: int = COVER) -> list[str]:
             break
         best = max((t for t in gains if gains[t] >= 0.9 * most), key=lambda t: (len(t), t[-1] == "0", t))
         chosen.append(best)
-        for i in holders.pop(best):
+        for i in holders[best]:
             wanted[i] -= 1
+        term = best.split("\t")[0]  # what begins with it, or it begins with, finds the same words
+        holders = {
+            t: held
+            for t, held in holders.items()
+            if not (other := t.split("\t")[0]).startswith(term) and not term.startswith(other)
+        }
         left = {i for i in left if wanted[i] > 0}
     return chosen
 
