@@ -37,6 +37,7 @@ THRESHOLD = 0.8
 RECALL = 0.998
 MAX_HASHES = 160
 BLOCK = 2048  # members of a gathering verified against each other in one task
+SALTS = 16  # parts that the rows of a class are split into when they meet its name
 BIN_ROWS = 3000  # members of small gatherings that share a task's group
 
 
@@ -327,10 +328,23 @@ def jaccard_join(
     rows_of = steps.store(
         signed.select("row_id", "doc_id", "text_key", *sets).join(described, sets).drop(*sets), "rows"
     )
-    named = rows_of.groupBy("class_row").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
+    named = (
+        rows_of.groupBy("class_row")
+        .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+        .filter("class_size > 1")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    salted = rows_of.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))
+    return salted.join(named, ["class_row", "salt"], "left").select(
+        "row_id",
+        "doc_id",
+        "text_key",
+        "class_row",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        "n_links",
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        "copies",
     )
-    return rows_of.join(named, "class_row")
 
 
 def one_per_class(docs: DataFrame, **options) -> DataFrame:
