@@ -1,0 +1,73 @@
+import html
+import re
+
+import pytest
+
+from panelspark.llm import extract
+from panelspark.llm.common import read
+from panelspark.llm.queries import op10_html_extraction
+
+LONG = "This is the text of the story and it is long enough to be judged by the words that are in it."
+COMMENT = "This is the best of the comments and it is here for the test of the page and for all of us."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""),
+        ("", ""),
+        ("<", ""),
+        ("<html><body></body></html>", ""),
+        (f"<article><h1>Head</h1><p>{LONG}</p><p>Short.</p></article>", f"Head\n{LONG}\nShort."),
+        (f"<nav>{LONG}</nav><article><p>a &amp; b&nbsp; c\n\td</article><footer>{LONG}", "a & b c d"),
+        (f"<article><p>one</p><div class='ad'>{LONG}</div><p>two</p></article>", "one\ntwo"),
+        (f"<article><p>one</p><section id=comments><p>{COMMENT}</p></section></article>", "one"),
+        (f"<article><p>x<script>var a='</p>'</script>y</p><style>p{{}}</style><form>{LONG}</form></article>", "xy"),
+        ("<article><p>one<p>two<br>three<b>four</article>", "one\ntwo threefour"),
+        ("<article><!-- <p>no</p> --><p>yes</p></article>", "yes"),
+        ("<article><p>cut off <b>here", "cut off here"),
+        ("<article><p>&lt;b&gt; &#233;&#x41; &copy; &am</p></article>", "<b> éA © &am"),
+        (f"<aside>{LONG}</aside><header>{LONG}</header><main><p>kept</p></main>", "kept"),
+        (f"<main><article><p>kept</p></article><div>{LONG}</div></main>", "kept"),
+        (
+            f"<div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul><h2>Title</h2><p>{LONG}</p><p>Mid.</p>"
+            f"<p>{LONG}</p><p><a href=z>{LONG}</a></p></div>",
+            f"Title\n{LONG}\nMid.\n{LONG}",
+        ),
+        (f"<p hidden>{LONG}</p><p style='display:none'>{LONG}</p><p>{LONG}</p>", LONG),
+        ("<p>zq xv wk jj pp qq zz xx vv ww kk jq zq xv wk jj pp qq zz xx vv ww kk jq zq xv</p>", ""),
+        ("<article><p>zq xv</p><p>" + "zq xv " * 40 + "</p></article>", "zq xv\n" + ("zq xv " * 40).strip()),
+    ],
+)
+def test_pages(page, text):
+    assert extract.main_text(page) == text
+
+
+def test_table(spark):
+    rows = [(1, "u", "<article>x</article>", "a"), (1, "u", "<article>x</article>", "a"), (None, None, None, "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = extract.extract(pages)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((tuple(r) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)], key=repr)
+    assert extract.extract(pages.filter("page_id = 7")).count() == 0
+
+
+def test_long_page():
+    body = f"<p>{LONG}</p>" * 5000
+    assert extract.main_text(f"<article>{body}</article>").count("\n") == 4999
+
+
+def article(page):
+    """The article of the generated pages, by their fixed layout."""
+    found = re.search(r"<article>(.*?)(</article>|\Z)", page, re.S)
+    body = re.sub(r"</?(h1|p)>", "\n", found[1] if found else "")
+    body = re.sub("<br>", " ", re.sub("</?b>", "", body))
+    lines = (" ".join(html.unescape(line).split()) for line in body.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def test_query_equals_the_layout(spark, sf_dir):
+    pages = {r.page_id: r.html for r in read(spark, sf_dir, "pages").collect()}
+    for r in op10_html_extraction(spark, sf_dir).collect():
+        assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)

@@ -1,0 +1,106 @@
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from cases import contaminated, documents, links
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from panelspark.llm import quality_model
+from panelspark.llm.common import Steps, read
+
+
+def test_registered():
+    names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in names] == list(range(1, 11))
+    assert "pipeline" in entry.queries()
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    """The documents before the first stage and after each."""
+    steps, docs = Steps(spark, "stages"), read(spark, sf_dir, "documents")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = steps.store(stage(spark, docs, sf_dir), name)
+        out.append(docs)
+    return out
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_columns(stages):
+    for df in stages[1:-1]:
+        assert df.columns == stages[0].columns
+
+
+def test_quality(spark, sf_dir, stages):
+    ranking = quality_model.learn(stages[0], read(spark, sf_dir, "labels"))
+    rows = stages[0].collect()
+    x = np.array([quality_model.features(r.text) for r in rows])
+    kept = {r.doc_id for r, s in zip(rows, ranking.score(x), strict=True) if s >= quality_model.CUT}
+    assert by_id(stages[1]).keys() == kept
+    good = {r.doc_id for r in read(spark, sf_dir, "labels").filter("quality = 1").collect()}
+    assert len(good & kept) >= 0.99 * len(good)
+
+
+def test_one_of_each_group(stages):
+    rows = stages[1].collect()
+    _, first = links([r.text for r in rows])
+    kept = by_id(stages[2]).keys()
+    groups = {}
+    for r, f in zip(rows, first, strict=True):
+        groups.setdefault(f, []).append(r.doc_id)
+    assert all(len(kept & set(g)) == 1 for g in groups.values())
+
+
+def test_decontamination(spark, sf_dir, stages):
+    rows = stages[2].collect()
+    items = [tuple(r) for r in read(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    hit = contaminated([r.text for r in rows], items)
+    assert by_id(stages[3]).keys() == {r.doc_id for r, h in zip(rows, hit, strict=True) if not h[1]}
+
+
+def test_secrets(stages):
+    from test_secret_scans import base, masked
+
+    before, after = by_id(stages[3]), by_id(stages[4])
+    assert before.keys() == after.keys()
+    assert any(base(r.text) for r in before.values())
+    assert all(after[k].text == masked(r.text) for k, r in before.items())
+
+
+def test_packing(stages):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = by_id(stages[4])
+    pieces = {(r.doc_id, r.piece): r for r in stages[5].collect()}
+    n = 0
+    for k, r in texts.items():
+        data = np.asarray([*whole.encode(r.text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        for piece, at in enumerate(range(0, len(data), 4 * 4096)):
+            part = data[at : at + 4 * 4096]
+            assert (pieces[k, piece].length, pieces[k, piece].ids_crc32) == (len(part) // 4, zlib.crc32(part))
+            n += 1
+    assert n == len(pieces)
+
+
+def test_run_equals_the_stages(spark, sf_dir, stages):
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    run = corpus_pipeline.run(spark, sf_dir).select(*key)
+    assert sorted(map(tuple, run.collect())) == sorted(map(tuple, stages[5].select(*key).collect()))
+
+
+def test_stages_survive_odd_rows(spark, sf_dir):
+    docs, steps = documents(spark), Steps(spark, "odd")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = steps.store(stage(spark, docs, sf_dir), name)
+    assert docs.count() > 0
+    docs = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = steps.store(stage(spark, docs, sf_dir), f"empty-{name}")
+    assert docs.count() == 0
