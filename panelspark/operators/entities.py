@@ -63,9 +63,13 @@ def year_span_docs(docs: DataFrame) -> DataFrame:
     return docs.agg(*_span(F.min(F.array_min(years)), F.max(F.array_max(years))))
 
 
-def full_coverage_docs(docs: DataFrame, master: DataFrame) -> DataFrame:
-    """Documents with one element per year of the span, their years sorted ascending."""
-    span = year_span_docs(docs).select("n_years").scalar()
+def full_coverage_docs(docs: DataFrame, master: DataFrame, span: Column | None = None) -> DataFrame:
+    """Documents with one element per year of the span, their years sorted ascending.
+
+    ``span`` is the number of years if it is known from elsewhere; the documents are then read once.
+    """
+    if span is None:
+        span = year_span_docs(docs).select("n_years").scalar()
     return (
         docs.filter(F.size("yearlyData") == span)
         .withColumnRenamed("country", "entity")

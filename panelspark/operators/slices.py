@@ -54,8 +54,8 @@ def new_sources_docs(
     """One row per energy in use in the years in which ``crossing_metric`` is below ``limit``.
 
     Of each energy the ``kind`` object is opened and the first entry whose key matches
-    ``key_pattern`` is taken; energies without a value, with 0, or listed in ``excluded`` are left
-    out.
+    ``key_pattern`` is taken; energies without a value, with 0 in either of the object's first two
+    entries, or listed in ``excluded`` are left out.
     """
     years = keep(year_arrays(docs, [crossing_metric], energies=True), entities).select(
         "entity", F.explode("years").alias("y")
@@ -68,10 +68,11 @@ def new_sources_docs(
     ).filter(F.col("crossing_share") < limit)
 
     of_kind = F.get(F.filter("e.energyTypes", lambda t: t["type"] == kind), F.lit(0))["energyData"]
+    unused = F.exists(F.slice(F.map_entries(of_kind), 1, 2), lambda x: F.coalesce(x["value"] == 0, F.lit(False)))
     entry = F.get(F.filter(F.map_entries(of_kind), lambda x: x["key"].rlike(key_pattern)), F.lit(0))
     return (
         crossing.select("entity", "year", "crossing_share", F.explode("energies").alias("e"))
-        .filter(~F.col("e.energy").isin(list(excluded)))
+        .filter(~F.col("e.energy").isin(list(excluded)) & ~F.coalesce(unused, F.lit(False)))
         .select(
             "entity", "year", "crossing_share", F.col("e.energy").alias("energy"),
             entry["value"].alias("energy_share"),

@@ -1,7 +1,8 @@
 """Two-sided facts (imports and exports).
 
 All operators take one long table ``(year, product, sub_product, side, value)`` with one row per
-key and side.  Comparing the sides is then one grouping with map-side aggregation instead of a
+key and side; comparing the sides of a key with several rows on one side is an error, not a sum.  Rows
+with a NULL key belong to no pair and no year.  Comparing the sides is then one grouping with map-side aggregation instead of a
 join of two shuffled tables, and a hot product cannot fan out.
 """
 
@@ -36,7 +37,7 @@ def two_sided_average(trade: DataFrame, both_sides: bool = True) -> DataFrame:
     Averaging each side on its own equals averaging over the joined pairs, where every value of
     one side is repeated equally often.  ``both_sides=False`` keeps one-sided pairs with a NULL.
     """
-    averages = trade.groupBy("product", "sub_product").agg(
+    averages = trade.dropna(subset=["product", "sub_product"]).groupBy("product", "sub_product").agg(
         F.avg(_of(IMPORT)).alias("import_avg"), F.avg(_of(EXPORT)).alias("export_avg")
     )
     return averages.dropna(subset=["import_avg", "export_avg"]) if both_sides else averages
@@ -54,10 +55,22 @@ def matched_sides(trade: DataFrame) -> DataFrame:
             _seen(EXPORT).alias("exports"),
         )
         .filter((F.col("imports") > 0) & (F.col("exports") > 0))
+        .withColumn("import_value", F.when(_repeated(), _refuse()).otherwise(F.col("import_value")))
+        .withColumn("export_value", F.when(_repeated(), _refuse()).otherwise(F.col("export_value")))
         .drop("imports", "exports")
     )
 
 
+def _repeated() -> Column:
+    return (F.col("imports") > 1) | (F.col("exports") > 1)
+
+
+def _refuse() -> Column:
+    """Several rows of one key and side: which belong together isn't known."""
+    key = F.concat_ws(", ", *[F.col(c).cast("string") for c in PAIR])
+    return F.raise_error(F.concat(F.lit("several rows for one side of "), key)).cast("double")
+
+
 def matched_difference(trade: DataFrame) -> DataFrame:
     """Export minus import per (year, product, sub-product), sorted."""
     difference = F.col("export_value") - F.col("import_value")
@@ -104,7 +117,7 @@ def yearly_totals(trade: DataFrame, since: int | None = None, empty_as_zero: boo
 
     ``empty_as_zero`` is the document rule: a side without any value totals 0, and keeps its year.
     """
-    rows = trade if since is None else trade.filter(F.col("year") >= since)
+    rows = trade.filter("year IS NOT NULL") if since is None else trade.filter(F.col("year") >= since)
     totals = rows.groupBy("year").agg(
         F.sum(_of(IMPORT)).alias("total_import"),
         F.sum(_of(EXPORT)).alias("total_export"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions import safe_ratio
@@ -81,8 +81,9 @@ def entity_master(spark, sf):
 
 
 def derived_roundtrip(spark, sf):
-    """Written, read back through its view name, and summarised."""
+    """Written, replaced from itself, read back through its view name, and summarised."""
     save_derived(star.panel(spark, sf), "derived_panel")
+    save_derived(spark.table("derived_panel").filter("entity IS NOT NULL"), "derived_panel")
     return (
         spark.table("derived_panel")
         .groupBy("entity")
@@ -117,7 +118,8 @@ def full_coverage(spark, sf):
 
 def full_coverage_docs(spark, sf):
     master = entities.entity_master(star.customer_entities(spark, sf))
-    covered = entities.full_coverage_docs(materialise(_customer_docs(spark, sf)), master)
+    span = entities.year_span(star.customer_years(spark, sf)).select("n_years").scalar()
+    covered = entities.full_coverage_docs(_customer_docs(spark, sf), master, span)
     return covered.select("entity", F.posexplode("yearlyData").alias("position", "y")).select(
         "entity", "position", "y.year", F.col("y.countryDetails.population").alias("orders")
     )
@@ -376,11 +378,16 @@ def align_inner(spark, sf):
 
 def align_left(spark, sf):
     """Months of shipping against order and event months, some of which do not exist."""
-    month = F.left(F.col("recorded").cast("string"), F.lit(7))
+
+    def monthly(df: DataFrame, **averages: Column) -> DataFrame:
+        """Grouped by the month as a date; the text of its label is made once per month."""
+        by_month = impact.by_period(df, F.trunc("recorded", "month"), **averages)
+        return by_month.withColumn("period", F.left(F.col("period").cast("string"), F.lit(7)))
+
     return impact.align_series(
-        impact.by_period(star.shipped(spark, sf), month, avg_extent=F.avg("value")),
-        impact.by_period(star.ordered(spark, sf), month, avg_level=F.avg("value")),
-        impact.by_period(star.observed(spark, sf), month, avg_temp=F.avg("value")),
+        monthly(star.shipped(spark, sf), avg_extent=F.avg("value")),
+        monthly(star.ordered(spark, sf), avg_level=F.avg("value")),
+        monthly(star.observed(spark, sf), avg_temp=F.avg("value")),
     )
 
 

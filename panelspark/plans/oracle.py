@@ -105,9 +105,9 @@ falls AS (
 EMISSIONS = """
 emissions AS (
   SELECT l_suppkey AS entity, year(l_shipdate)::INT AS year,
-    sum(CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN l_quantity END) AS coal,
-    sum(CASE WHEN l_returnflag = 'N' AND l_linenumber = 7 THEN l_quantity END) AS gas,
-    sum(CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN l_quantity END) AS oil,
+    sum(CASE WHEN l_returnflag = 'A' THEN l_quantity END) AS coal,
+    sum(CASE WHEN l_returnflag = 'N' THEN l_quantity END) AS gas,
+    sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS oil,
     sum(l_quantity) AS total, sum(l_quantity + l_linenumber) AS ghg
   FROM lineitem GROUP BY 1, 2
 ),

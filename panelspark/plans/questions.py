@@ -266,7 +266,8 @@ def q12_gdp_per_capita(t):
 
 def q12_asian_peers(t):
     asian = cohorts.members_of(t.entities(), "Asia")
-    return cohorts.rank_entities(t.info(), _per_capita(), asian, 1965, 2018, descending=False)
+    ranked = cohorts.rank_entities(t.info(), _per_capita(), asian, 1965, 2018, descending=False)
+    return ranked.withColumn("continent", F.lit("Asia"))
 
 
 def q12_energy_intensity(t):

@@ -189,4 +189,7 @@ EXPORTED_YEARS = _struct(
     ("monthlyHouseholdConsumption", ArrayType(_EXPORTED_MONTH)),
 )
 
+# Parameter of the panel metric ``large``: the value, in cents, above which an order counts for it.
+LARGE_ORDER_CENTS = 49_500_000
+
 TABLES: dict[str, StructType] = {**STAR, **PANEL_TABLES, **DOCUMENTS}

@@ -6,8 +6,10 @@ Every table is one lazy plan over the whole star tables.  Amounts are carried in
 The tables take a range of years where a query needs only those: the range is put on the stored
 date, not on the derived year, so files and row groups outside it are not read.
 
-Skew: customer- and supplier-keyed facts are aggregated by that key *before* the join with the
-dimension, so a customer with a third of all orders reaches the join as a handful of rows.
+Skew: the panel, customer years and supplier facts are aggregated by their key *before* the join with
+the dimension, so a customer with a third of all orders reaches the join as a handful of rows.  Where
+the grouping needs a column of the dimension (trade by part, monthly orders by segment), the raw join
+is left to adaptive skew splitting.
 ``nation`` and ``region`` have a fixed size; whether ``customer``, ``supplier`` or ``part`` is
 broadcast is left to Spark's own size check.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.documents import DocumentLayout
 from panelspark.operators.trade import tag_sides
+from panelspark.sources.schemas import LARGE_ORDER_CENTS
 from panelspark.sources.tables import load
 
 # The order priorities and the metric each one feeds.
@@ -29,7 +32,6 @@ CLASSES = {
     "unspecified": "4-NOT SPECIFIED",
     "low": "5-LOW",
 }
-LARGE_ORDER_CENTS = 49_500_000
 SHARE_VALUE = [f"{c}_share_value" for c in CLASSES]
 SHARE_ORDERS = [f"{c}_share_orders" for c in CLASSES]
 
@@ -115,10 +117,16 @@ def customer_years(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def panel(
-    spark: SparkSession, directory: str, since: int | None = None, until: int | None = None
+    spark: SparkSession,
+    directory: str,
+    since: int | None = None,
+    until: int | None = None,
+    large_from: int = LARGE_ORDER_CENTS,
 ) -> DataFrame:
     """Entity-year panel of nations and, like any published panel, of aggregates (regions).
 
+    The metric ``large`` is the value of the orders above ``large_from`` cents; NULL where a year has none.
+
     The first grouping leaves one row per (customer, year): it bounds a hot customer, and makes
     the number of distinct customers per nation and year a plain count.  The regions are summed
     from the nations' rows, not from a second scan.
@@ -144,7 +152,7 @@ def panel(
         by_customer AS (
           SELECT o_custkey, year, sum(cents) AS gdp, CAST(count(*) AS DOUBLE) AS orders,
                  {", ".join(classes)},
-                 sum(CASE WHEN cents > {LARGE_ORDER_CENTS} THEN cents END) AS large
+                 sum(CASE WHEN cents > {large_from} THEN cents END) AS large
           FROM order_cents GROUP BY o_custkey, year
         ),
         by_nation AS (
@@ -279,10 +287,9 @@ def emissions(
 ) -> DataFrame:
     """Three emission parts (NULL where a supplier has none that year), their total and all gases."""
     lineitem = _dated(load(spark, directory, "lineitem"), "l_shipdate", since, until)
-    last_line = F.col("l_linenumber") == 7
 
     def part(flag: str) -> Column:
-        return F.sum(F.when((F.col("l_returnflag") == flag) & last_line, F.col("l_quantity")))
+        return F.sum(F.when(F.col("l_returnflag") == flag, F.col("l_quantity")))
 
     return lineitem.groupBy(
         F.col("l_suppkey").alias("entity"), F.year("l_shipdate").cast("int").alias("year")

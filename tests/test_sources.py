@@ -47,12 +47,54 @@ def test_derived_table_is_replaced_and_readable_by_name(spark):
     assert "FileScan" in second._jdf.queryExecution().executedPlan().toString()
 
 
+def versions(spark, name):
+    inside = os.path.join(shared_directory(spark), "derived", spark.sparkContext.applicationId)
+    return [f for f in os.listdir(inside) if f.startswith(f"{name}-")]
+
+
 def test_derived_tables_go_to_the_shared_folder(spark):
-    folder = shared_directory(spark)
-    assert folder == spark.conf.get("spark.checkpoint.dir")
+    assert shared_directory(spark) == spark.conf.get("spark.checkpoint.dir")
     save_derived(spark.range(1), "shared_check")
-    inside = os.path.join(folder, "derived", spark.sparkContext.applicationId, "shared_check")
-    assert os.path.isdir(inside)
+    assert len(versions(spark, "shared_check")) == 1
+
+
+@pytest.mark.parametrize("buckets", [None, 2])
+def test_derived_table_is_replaced_from_itself(spark, buckets):
+    name = f"own_{buckets}"
+    save_derived(spark.range(10).withColumnRenamed("id", "entity"), name, buckets=buckets)
+    save_derived(spark.table(name).filter("entity > 3"), name, buckets=buckets)
+    assert spark.table(name).count() == 6
+    assert len(versions(spark, name)) == 1
+
+
+def test_failed_write_leaves_the_old_table(spark):
+    save_derived(spark.range(4), "kept")
+    with pytest.raises(Exception, match="no value"):
+        save_derived(spark.table("kept").select(F.raise_error(F.lit("no value")).cast("long").alias("id")), "kept")
+    assert spark.table("kept").count() == 4
+
+
+@pytest.mark.parametrize("name", list(schemas.PANEL_TABLES))
+def test_csv_columns_are_found_by_name(spark, tmp_path, name):
+    schema = schemas.TABLES[name]
+    names = [f.name for f in schema][::-1]
+    header = ["more", *names, "other"]
+    line = ["x", *["2000" for _ in names], "y"]
+    (tmp_path / f"{name}.csv").write_text(",".join(f'"{h}"' for h in header) + "\n" + ",".join(line) + "\n")
+    got = load(spark, str(tmp_path), name, fmt="csv")
+    assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in schema]
+    assert all(str(v).startswith("2000") for v in got.first())
+
+
+def test_csv_without_a_column_is_an_error(spark, tmp_path):
+    (tmp_path / "owid_countryinfo.csv").write_text("country,year,gdp\nA,2000,1\n")
+    with pytest.raises(ValueError, match="population"):
+        load(spark, str(tmp_path), "owid_countryinfo", fmt="csv")
+
+
+def test_csv_values_of_another_type_are_null(spark, tmp_path):
+    (tmp_path / "owid_countryinfo.csv").write_text("year,gdp,country,population\nn/a,1.5,A,2\n")
+    assert load(spark, str(tmp_path), "owid_countryinfo", fmt="csv").first() == ("A", None, 2.0, 1.5)
 
 
 def test_materialised_tables_do_not_collide(spark):

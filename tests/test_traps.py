@@ -280,7 +280,7 @@ def test_new_sources(spark):
     base = dict.fromkeys(metrics, 0.0)
     years = {
         1985: base | {"fossil_share_energy": 100.0, "solar_share_energy": 1.0},
-        1986: base | {"fossil_share_energy": 99.0, "solar_share_energy": 0.7, "wind_share_elec": 0.0, "wind_share_energy": 0.3, "hydro_share_energy": None},
+        1986: base | {"fossil_share_energy": 99.0, "solar_share_elec": 0.5, "solar_share_energy": 0.7, "wind_share_elec": 0.0, "wind_share_energy": 0.3, "hydro_share_energy": None},
         1987: base | {"fossil_share_energy": None, "solar_share_energy": 5.0},
     }
     p = spark.createDataFrame(
@@ -288,7 +288,7 @@ def test_new_sources(spark):
         "entity string, year int, gdp double" + "".join(f", {m} double" for m in metrics),
     )
     result = slices.new_sources_docs(documents.to_documents(p, layout), "fossil_share_energy", 100, "energy", ["fossil"], entities=["S"])
-    assert rows(result, ["year", "energy", "energy_share"]) == [(1986, "solar", 0.7), (1986, "wind", 0.3)]
+    assert rows(result, ["year", "energy", "energy_share"]) == [(1986, "solar", 0.7)]  # wind: 0 in one of its two entries
 
 
 def test_household_totals_are_separated(spark):
@@ -407,3 +407,25 @@ def test_impact_with_missing_population(spark, missing):
     assert got.avg_displacements == pytest.approx((10 + 10 + 20 + 20 + 30) / 5)
     assert got.pct_displacements == pytest.approx(100 * (0.1 + 0.2) / 2)
     assert got.avg_population == pytest.approx(100.0 if missing is None else 50.0)
+
+
+def test_trade_keys_that_are_null_belong_to_no_pair(spark):
+    schema = "year int, product string, sub_product string, side string, value double"
+    rows_ = [
+        (2000, "a", "x", "import", 1.0), (2000, "a", "x", "export", 3.0),
+        (2000, None, "x", "import", 5.0), (2000, None, "x", "export", 7.0),
+        (None, "a", "x", "import", 9.0), (None, "a", "x", "export", 9.0),
+    ]
+    table = spark.createDataFrame(rows_, schema)
+    assert [r["product"] for r in trade.two_sided_average(table).collect()] == ["a"]
+    assert [r.year for r in trade.yearly_totals(table).collect()] == [2000]
+    assert [tuple(r) for r in trade.matched_difference(table).collect()] == [(2000, "a", "x", 2.0)]
+
+
+def test_several_rows_for_one_side_are_an_error(spark):
+    schema = "year int, product string, sub_product string, side string, value double"
+    rows_ = [(2000, "a", "x", "import", 1.0), (2000, "a", "x", "import", 4.0), (2000, "a", "x", "export", 3.0)]
+    table = spark.createDataFrame(rows_, schema)
+    for result in (trade.matched_difference(table), trade.years_with_many(table, 0)):
+        with pytest.raises(Exception, match="several rows for one side"):
+            result.collect()
