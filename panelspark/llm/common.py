@@ -67,17 +67,23 @@ class Steps:
         ship_code(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        files, path = self._path("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # with all that is still there when the driver ends
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            files, path = self._path(name)
+            files.delete(path, True)
 
 
 def remainder_is_zero(doc_id: Column, by: int = 5) -> Column:

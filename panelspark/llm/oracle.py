@@ -1,3 +1,88 @@
-"""Independent SQL for the operators that SQL can express."""
+"""Independent SQL for the operators that SQL can express, over the whole tables."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from panelspark.llm.quality_rules import RULES, STOP_WORDS
+
+_STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
+_BOUND = {name: (least, most) for name, _, least, most in RULES}
+
+
+def _within(value: str, name: str) -> str:
+    least, most = _BOUND[name]
+    parts = [f"{value} >= {least}"] if least is not None else []
+    parts += [f"{value} <= {most}"] if most is not None else []
+    return " AND ".join(parts)
+
+
+QUALITY = rf"""
+WITH cut AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT id, k, count(*) OVER (PARTITION BY id, words[k], words[k + 1], words[k + 2]) AS n
+  FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS k FROM cut WHERE len(words) >= 3)
+),
+repeated AS (
+  SELECT id, count(DISTINCT p) AS n_repeat
+  FROM (SELECT id, unnest([k, k + 1, k + 2]) AS p FROM windows WHERE n > 1) GROUP BY id
+),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+    length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(words, lambda w: w IN ({_STOP}))) AS n_stop
+  FROM cut LEFT JOIN repeated USING (id)
+),
+judged AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  (NOT base_failed AND {_within("word_chars / n_words", "mean_word")}
+    AND {_within("n_symbols / n_words", "symbols_per_word")}
+    AND {_within("n_stop / n_words", "stop_word_ratio")}
+    AND {_within("n_dup_lines / n_lines", "dup_line_ratio")}) AS kept
+FROM judged
+"""
+
+_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+DECONTAMINATION = f"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS words FROM documents),
+items AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+wanted AS (
+  SELECT DISTINCT item_id, words[k : k + least(10, len(words)) - 1] AS run
+  FROM (SELECT *, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS k FROM items WHERE len(words) > 0)
+),
+sizes AS (SELECT DISTINCT len(run) AS n FROM wanted),
+runs AS (
+  SELECT id, k, n, words[k : k + n - 1] AS run
+  FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM texts, sizes WHERE len(words) >= n)
+),
+found AS (SELECT id, item_id, k, n FROM runs JOIN wanted USING (run)),
+hit AS (
+  SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(k, k + n)) AS p FROM found) GROUP BY id
+),
+listed AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (id) LEFT JOIN listed USING (id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_decontamination": DECONTAMINATION,
+    "op5_quality_rules": QUALITY,
+}
