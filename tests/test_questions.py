@@ -172,7 +172,8 @@ def asian_peers(t):
     master, i = t("continents-according-to-our-world-in-data"), t("owid_countryinfo")
     asian = set(master[master.Continent == "Asia"].Entity)
     i = i[i.country.isin(asian) & i.year.between(1965, 2018)]
-    return mean_by(i.assign(entity=i.country, r=over(i.gdp, i.population)), "entity", avg_score="r")
+    ranked = mean_by(i.assign(entity=i.country, r=over(i.gdp, i.population)), "entity", avg_score="r")
+    return ranked.assign(continent="Asia")
 
 
 def per_capita(e):
