@@ -5,8 +5,10 @@ signs inside words as the letters they stand for, and drops invisible characters
 fold to ``i``, so that every reading of ``1`` matches.
 
 The lexicon is learned from a bounded sample of labelled texts: words and beginnings of words whose
-odds of standing in a toxic text are far above those in other texts, chosen greedily until no term
-adds a match to enough toxic texts that still lack one.  A term's weight is its log odds ratio.  A phrase of
+share of the uses in toxic texts is far above that in other texts, chosen greedily until no term
+adds a match to enough toxic texts that still lack one.  A text's uses of a term count by their
+logarithm, so that one text which repeats a word doesn't decide.  A term's weight is the logarithm of
+the ratio of its shares.  A phrase of
 a term and its neighbour that occurs only in texts that are not toxic is an exception: matches inside
 it don't count.  A text's value is the sum of weights per thousand characters; a logistic curve over
 its logarithm gives the score.
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import Steps, ship_code
 from panelspark.llm.sample import SAMPLE_ROWS, labelled
 
-PREFIXES = (4, 5, 6)
-LEAST_ODDS = 3.0  # log odds ratio of a term
+PREFIXES = (4, 5, 6, 7, 8)
+LEAST_ODDS = 3.0  # logarithm of the ratio of a term's shares of uses
 LEAST_SHARE = 0.01  # of the toxic texts, in which a term must add a match that is still wanted
 COVER = 4  # matches wanted in every toxic text, so that the lexicon doesn't rest on single terms
 
@@ -133,30 +135,49 @@ def value(text: str | None, automaton) -> float:
     return math.log1p(1000 * weight / (len(folded) + 50)) if weight else 0.0
 
 
-def terms(folded: str) -> set[tuple[str, bool]]:
-    """Words (True) and beginnings of words (False) of a folded text."""
-    words = set(_WORD.findall(folded))
-    return {(w, True) for w in words} | {(w[:k], False) for w in words for k in PREFIXES if len(w) >= k}
+def terms(folded: str) -> Counter[tuple[str, bool]]:
+    """Uses of the words (True) and beginnings of words (False) of a folded text."""
+    words = Counter(_WORD.findall(folded))
+    found = Counter({(w, True): n for w, n in words.items()})
+    for word, n in words.items():
+        for k in PREFIXES:
+            if len(word) >= k:
+                found[word[:k], False] += n
+    return found
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
+    """Per term: toxic texts that hold it, and its damped uses in clean and in toxic texts.
+
+    The row whose term is NULL has the sums over all words.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
+            texts: Counter = Counter()
+            uses: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-                counts[label == 1].update(terms(fold(text)))
-            keys = list(counts[0].keys() | counts[1].keys())
+                toxic = label == 1
+                for key, n in terms(fold(text)).items():
+                    damped = math.log1p(n)
+                    uses[toxic][key] += damped
+                    texts[key] += toxic
+                    if key[1]:
+                        uses[toxic][None, True] += damped
+            keys = list(uses[0].keys() | uses[1].keys())
             yield pa.RecordBatch.from_pydict(
                 {
                     "term": pa.array([k[0] for k in keys], pa.string()),
                     "whole": pa.array([k[1] for k in keys], pa.bool_()),
-                    "clean": pa.array([counts[0][k] for k in keys], pa.int64()),
-                    "toxic": pa.array([counts[1][k] for k in keys], pa.int64()),
+                    "texts": pa.array([texts[k] for k in keys], pa.int64()),
+                    "clean": pa.array([float(uses[0][k]) for k in keys], pa.float64()),
+                    "toxic": pa.array([float(uses[1][k]) for k in keys], pa.float64()),
                 }
             )
 
-    found = sample.mapInArrow(run, "term string, whole boolean, clean long, toxic long")
-    return found.groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = sample.mapInArrow(run, "term string, whole boolean, texts long, clean double, toxic double")
+    sums = [F.round(F.sum(c), 6).alias(c) for c in ("clean", "toxic")]  # in whatever order they came
+    return found.groupBy("term", "whole").agg(F.sum("texts").alias("texts"), *sums)
 
 
 def _hits(sample: DataFrame, lexicon: Lexicon, label: int) -> list:
@@ -243,12 +264,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     if not clean or not toxic:
         return Lexicon(base=1.0 if toxic else 0.0)
     least = max(3, math.ceil(LEAST_SHARE * toxic))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic - F.col("toxic") + 0.5)) - F.log(
-        (F.col("clean") + 0.5) / (clean - F.col("clean") + 0.5)
+    counts = steps.store(_term_counts(sample), "terms")
+    total = counts.filter("term IS NULL").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
+    odds = F.log((F.col("toxic") + 0.5) / ((total["toxic"] or 0) + 1)) - F.log(
+        (F.col("clean") + 0.5) / ((total["clean"] or 0) + 1)
     )
     rows_of = (
-        _term_counts(sample)
-        .filter((F.col("toxic") >= least) & (odds > LEAST_ODDS))
+        counts.filter((F.col("texts") >= least) & (odds > LEAST_ODDS) & F.col("term").isNotNull())
         .select("term", "whole", odds.alias("odds"))
         .collect()  # bounded by the sample
     )
@@ -271,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     lexicon.exceptions = frozenset(p for p, n in in_clean.items() if n >= 3 and p not in in_toxic)
     values = sample.select(F.col("label"), scorer(lexicon, raw=True)(F.col("text")).alias("x")).toPandas()
     lexicon.slope, lexicon.center = _curve(values["x"].to_numpy(), values["label"].to_numpy(float))
-    steps.drop("sample")
+    steps.drop("sample", "terms")
     return lexicon
 
 
