@@ -145,7 +145,8 @@ def panel_slice_docs(
 def trade_documents(trade: DataFrame) -> DataFrame:
     """Tagged trade rows -> one document per year: products -> sub-products -> both values.
 
-    The arrays are bounded by the product catalogue.
+    Contract: the product catalogue is one that a task can hold, as a year's document holds all of it.
+    The arrays grow with the catalogue, never with the number of trades; flat reports read the rows.
     """
     pairs = trade.groupBy("year", "product", "sub_product").agg(
         F.sum(F.when(F.col("side") == "import", F.col("value"))).alias("imports_value_ktoe"),

@@ -312,6 +312,7 @@ ORACLE: dict[str, str] = {
     ),
     "panel_slice": _SLICE,
     "panel_slice_docs": _SLICE,
+    "panel_slice_stored_docs": _SLICE,
     "threshold_crossing": _sql(
         """SELECT entity, year, urgent_share_value, high_share_value, low_share_value,
           min(year) OVER (PARTITION BY entity) AS first_year

@@ -174,10 +174,9 @@ def q01_real_countries(t):
 
 
 def q01_countries(t):
-    panel = t.energy()
-    if "code" not in panel.columns:
-        panel = panel.join(t.entities().select("entity", "code"), "entity")
-    return entities.list_entities(panel, _real(t))
+    if isinstance(t, DocumentTables):
+        return t.real_countries()
+    return entities.list_entities(t.energy(), _real(t))
 
 
 def q01_country_count(t):
@@ -541,7 +540,7 @@ QUESTIONS: dict[str, Callable[[FlatTables], DataFrame]] = {
 }
 
 NESTED: dict[str, Callable[[DocumentTables], DataFrame]] = {
-    "q02_covered_documents": lambda t: entities.full_coverage_docs(t.countries(), _real(t)),
+    "q02_covered_documents": lambda t: entities.full_coverage_docs(t.countries(), t.real_countries()),
     "q03_new_sources": lambda t: slices.new_sources_docs(
         t.countries(), "fossil_share_energy", 100, "energy", NOT_NEW_SOURCES, entities=SINGAPORE
     ),

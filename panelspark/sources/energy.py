@@ -13,17 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates, documents, season
-from panelspark.operators.entities import entity_master
+from panelspark.operators.entities import entity_master, list_entities
 from panelspark.operators.trade import tag_sides
 from panelspark.sources import schemas
-from panelspark.sources.tables import load, save_view
+from panelspark.sources.tables import load, save_derived, save_view
 
 Reader = Callable[[str], DataFrame]
 
 
-def reader(spark: SparkSession, directory: str, fmt: str = "parquet", **options: str) -> Reader:
+def reader(
+    spark: SparkSession, directory: str, fmt: str = "parquet", ignore_case: bool = False, **options: str
+) -> Reader:
     """Tables and documents by name from one folder.
 
+    With ``ignore_case`` the text columns of the flat tables compare, group and join without case.
     JSON year documents are read as a document store exports them, with the mixed ``month`` field,
     and that field is split on the way in.
     """
@@ -32,7 +35,10 @@ def reader(spark: SparkSession, directory: str, fmt: str = "parquet", **options:
         if name == "finalSGYearlyData" and fmt == "json":
             exported = load(spark, directory, name, schemas.EXPORTED_YEARS, fmt, **options)
             return documents.split_months(exported)
-        return load(spark, directory, name, fmt=fmt, **options)
+        table = load(spark, directory, name, fmt=fmt, **options)
+        if ignore_case and name in schemas.PANEL_TABLES:
+            return case_insensitive(table, *[c for c, kind in table.dtypes if kind == "string"])
+        return table
 
     return read
 
@@ -166,6 +172,7 @@ class DocumentTables:
 
     def __init__(self, read: Reader):
         self.read = read
+        self._stored: DataFrame | None = None
 
     def countries(self) -> DataFrame:
         return self.read("finalOWIDdata")
@@ -181,6 +188,20 @@ class DocumentTables:
             F.col("Entity").alias("entity"), F.col("Code").alias("code"), F.col("Continent").alias("continent")
         )
 
+    def real_countries(self) -> DataFrame:
+        """(entity, code) of the documents of real entities: the stored list if there is one."""
+        if self._stored is not None:
+            return self._stored.withColumnsRenamed({"country": "entity", "iso_code": "code"})
+        named = self.countries().select(F.col("country").alias("entity"))
+        coded = named.join(self.entities().select("entity", "code"), "entity")
+        return list_entities(coded, entity_master(self.entities()))
+
+    def store_countries(self, directory: str | None = None) -> DataFrame:
+        """Write the list of real countries as ``finalCountries``; later questions read it."""
+        real = self.real_countries().withColumnsRenamed({"entity": "country", "code": "iso_code"})
+        self._stored = save_derived(real, "finalCountries", directory=directory)
+        return self._stored
+
     def info(self) -> DataFrame:
         return self.energy("population", "gdp")
 

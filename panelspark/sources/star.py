@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.documents import DocumentLayout
-from panelspark.operators.trade import tag_sides
 from panelspark.sources.schemas import LARGE_ORDER_CENTS
 from panelspark.sources.tables import load
 
@@ -184,25 +183,10 @@ def panel(
     )
 
 
-def trade_side(spark: SparkSession, directory: str, status: str) -> DataFrame:
-    """Yearly quantity per product pair of one side: line status ``O`` imports, ``F`` exports."""
-    lineitem = load(spark, directory, "lineitem").filter(F.col("l_linestatus") == status)
-    part = load(spark, directory, "part")
-    return (
-        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(
-            F.year("l_shipdate").cast("int").alias("year"),
-            F.col("p_type").alias("product"),
-            F.col("p_brand").alias("sub_product"),
-        )
-        .agg(F.sum("l_quantity").alias("value"))
-    )
-
-
 def trade(
     spark: SparkSession, directory: str, since: int | None = None, until: int | None = None
 ) -> DataFrame:
-    """Both sides in one scan: the long form :func:`tag_sides` gives for two separate tables."""
+    """Both sides in one scan: the long form that tagging two separate tables gives."""
     lineitem = _dated(load(spark, directory, "lineitem"), "l_shipdate", since, until)
     part = load(spark, directory, "part")
     side = F.when(F.col("l_linestatus") == "O", "import").when(F.col("l_linestatus") == "F", "export")
@@ -219,10 +203,6 @@ def trade(
     )
 
 
-def trade_from_sides(spark: SparkSession, directory: str) -> DataFrame:
-    return tag_sides(trade_side(spark, directory, "O"), trade_side(spark, directory, "F"))
-
-
 def _monthly_orders(spark: SparkSession, directory: str) -> DataFrame:
     orders = load(spark, directory, "orders")
     customer = load(spark, directory, "customer")

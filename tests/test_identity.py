@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from helpers import rows, same
+from helpers import rows, same, trade_from_sides, trade_side
 from panelspark.functions import safe_ratio
 from panelspark.operators import cohorts, impact, trade, windows
 from panelspark.sources import star
@@ -41,8 +41,8 @@ def test_one_pass_pairs_equal_self_join(panel):
 
 
 def test_side_averages_equal_fan_out_join(spark, sf_dir):
-    imports = star.trade_side(spark, sf_dir, "O").withColumnRenamed("value", "i")
-    exports = star.trade_side(spark, sf_dir, "F").withColumnRenamed("value", "e")
+    imports = trade_side(spark, sf_dir, "O").withColumnRenamed("value", "i")
+    exports = trade_side(spark, sf_dir, "F").withColumnRenamed("value", "e")
     keys = ["product", "sub_product"]
     literal = (
         imports.drop("year").join(exports.drop("year"), keys).groupBy(*keys)
@@ -53,7 +53,7 @@ def test_side_averages_equal_fan_out_join(spark, sf_dir):
 
 
 def test_one_scan_of_both_sides_equals_two_tables(spark, sf_dir):
-    assert rows(star.trade(spark, sf_dir)) == rows(star.trade_from_sides(spark, sf_dir))
+    assert rows(star.trade(spark, sf_dir)) == rows(trade_from_sides(spark, sf_dir))
 
 
 def test_grouping_equals_windowed_count(spark, sf_dir):

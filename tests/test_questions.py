@@ -429,3 +429,51 @@ def test_new_sources_and_covered_documents(world):
         questions.q02_full_coverage(flat).orderBy("entity"), ["entity"]
     )
     assert "Cuba" not in {r.entity for r in covered.collect()}
+
+
+def test_stored_countries_serve_the_later_questions(spark, world):
+    _, _, folder = world
+    docs = DocumentTables(reader(spark, folder))
+    computed = collected(questions.q01_countries(docs).orderBy("entity"), ["entity", "code"])
+    covered = collected(questions.NESTED["q02_covered_documents"](docs).orderBy("entity"), ["entity"])
+    assert docs.store_countries().columns == ["country", "iso_code"]
+    assert collected(spark.table("finalCountries").orderBy("country"), ["country", "iso_code"]) == computed
+    plan = questions.q01_countries(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert questions.q01_country_count(docs).first().entities == len(computed)
+    again = questions.NESTED["q02_covered_documents"](docs)
+    assert collected(again.orderBy("entity"), ["entity"]) == covered
+
+
+@pytest.fixture(scope="module")
+def mixed_case(spark, world, tmp_path_factory):
+    """The household tables with the total rows and names written in several cases."""
+    _, _, folder = world
+    other = str(tmp_path_factory.mktemp("mixed"))
+    keys = {
+        "householdelectricityconsumption": ["region", "Description", "dwelling_type"],
+        "householdtowngasconsumption": ["sub_housing_type"],
+    }
+    for name, texts in keys.items():
+        df = spark.read.parquet(f"{folder}/{name}.parquet")
+        odd = F.pmod(F.xxhash64(*df.columns), F.lit(3))
+        spelled = {c: F.when(odd == 0, F.lower(c)).when(odd == 1, F.upper(c)).otherwise(F.col(c)) for c in texts}
+        df.withColumns(spelled).write.parquet(f"{other}/{name}.parquet")
+    return other
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["q08_regional_average", "q09_regional_falls", "q09_saving_stars", "q10_regional_quarters", "q11_town_gas_quarters"],
+)
+def test_questions_without_case(spark, world, mixed_case, name):
+    flat, _, _ = world
+    question = questions.QUESTIONS[name]
+    expected = question(flat)
+    names = sorted(expected.columns)
+    folded = question(FlatTables(reader(spark, mixed_case, ignore_case=True)))
+
+    def lowered(df):
+        return [tuple(v.lower() if isinstance(v, str) else v for v in r) for r in df.select(*names).collect()]
+
+    assert same(lowered(folded), lowered(expected))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from helpers import final_plan, plan, rows, same
+from helpers import final_plan, plan, rows, same, trade_side
 from panelspark.operators import documents, entities
 from panelspark.operators.cohorts import rank_entities, topk_rows
 from panelspark.operators.windows import negative_change_pairs
@@ -138,8 +138,20 @@ def test_covered_documents_are_not_written(spark, sf_dir):
     assert "derived" not in text
 
 
+def test_year_documents_grow_with_the_catalogue(spark, skewed_dir):
+    flat = star.trade(spark, skewed_dir)
+    docs = documents.trade_documents(flat)
+    held = docs.select(F.explode("energy_products").alias("p")).agg(F.sum(F.size("p.sub_products"))).first()[0]
+    assert held == flat.select("year", "product", "sub_product").distinct().count()
+
+
+def test_scaled_bars_read_the_facts_once(spark, sf_dir):
+    text = final_plan(catalog.scaled_bars(spark, sf_dir))
+    assert text.count("ReusedSubquery") + text.count("ReusedExchange") >= 2
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    text = plan(star.trade_side(spark, sf_dir, "O"))
+    text = plan(trade_side(spark, sf_dir, "O"))
     lineitem = next(line for line in text.splitlines() if "FileScan" in line and "l_quantity" in line)
     assert "l_extendedprice" not in lineitem and "l_linestatus" in lineitem
     assert "EqualTo(l_linestatus,O)" in text
