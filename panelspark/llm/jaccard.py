@@ -39,6 +39,7 @@ MAX_HASHES = 160
 BLOCK = 2048  # members of a gathering verified against each other in one task
 SALTS = 16  # parts that the rows of a class are split into when they meet its name
 BIN_ROWS = 3000  # members of small gatherings that share a task's group
+HOT = 1000  # a node with more than one in so many of the edges meets its least neighbour by a broadcast
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -195,23 +196,41 @@ def _verify(pdf: pd.DataFrame, ngram: int, threshold: float) -> pd.DataFrame:
     )
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` (u, v) with the least neighbour ``m`` of u; ``least`` has u, m and the degree of u.
+
+    The edges of a hot node stay where they are: fewer than 2 * HOT nodes can hold more than one in
+    HOT of ``total`` edges, so their rows are broadcast.  Only the others' edges are dealt by node.
+    """
+    most = max(1, total // HOT)
+    hot = least.filter(F.col("degree") > most)
+    others = least.filter(F.col("degree") <= most).select("u", "m")
+    near = edges.join(F.broadcast(hot.select("u", "m")), "u")
+    rest = edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(others, "u")
+    return near.unionByName(rest)
+
+
 def components(steps: Steps, edges: DataFrame, name: str = "star", rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node of each node's component, by large-star and small-star rounds.
 
     Each round is a grouping and a join on the narrow edge table, written to the shared folder.  The
-    number of rounds grows with the logarithm of the longest chain.
+    number of rounds grows with the logarithm of the longest chain.  The groupings combine before the
+    shuffle, and the joins leave the edges of hot nodes in place, so no task holds one node's edges.
     """
     pair = edges.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v"))
     current = steps.store(pair.filter("u <> v").distinct(), f"{name}-0")
+    total = current.count()
     state = None
     for k in range(1, rounds + 1):
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        least = least.withColumn("m", F.least("u", "m"))
+        large = _with_least(both, least, total).filter("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = (
-            large.join(low, "u")
+            _with_least(large, low, total)
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select("e.u", F.col("e.m").alias("v"))
         )
@@ -221,7 +240,7 @@ def components(steps: Steps, edges: DataFrame, name: str = "star", rounds: int =
         current = following
         if found == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = found
+        state, total = found, found[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

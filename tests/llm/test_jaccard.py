@@ -5,7 +5,7 @@ import pytest
 from cases import BASE, DOCS, documents, links
 
 from panelspark.llm import jaccard
-from panelspark.llm.common import read
+from panelspark.llm.common import Steps, read
 from panelspark.llm.queries import op4_jaccard_join
 
 
@@ -99,3 +99,23 @@ def test_query_equals_brute_force(spark, sf_dir):
 
 def test_brute_force_of_base():
     assert links([BASE, BASE])[0] == [1, 1]
+
+
+def test_components_of_stars_and_chains(spark):
+    rng = random.Random(3)
+    pairs = [(0, k) for k in range(1, 3000)]  # one node holds most of the edges
+    pairs += [(10_000 + k, 10_001 + k) for k in range(40)]
+    pairs += [(20_000 + rng.randrange(300), 20_000 + rng.randrange(300)) for _ in range(200)]
+    parent = {x: x for pair in pairs for x in pair}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    edges = spark.createDataFrame(pairs, "node long, root long")
+    found = {r.node: r.root for r in jaccard.components(Steps(spark, "stars"), edges).collect()}
+    assert found == {x: top(x) for x in parent if top(x) != x}
