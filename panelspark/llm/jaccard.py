@@ -161,8 +161,8 @@ def _verify(pdf: pd.DataFrame, ngram: int, threshold: float) -> pd.DataFrame:
             dense = np.zeros((m, min(step, int((seen > 1).sum()) - at)), np.float32)
             dense[rows[part], columns[part] - at] = 1
             shared += dense @ dense.T
-        linked = shared >= np.float32(threshold) * (size[:, None] + size[None, :] - shared) - 1e-3
-        # exact in integers: shared * 10**6 >= threshold * 10**6 * union
+        # wide enough for the rounding of single precision; then exact in integers
+        linked = shared >= np.float32(threshold) * (size[:, None] + size[None, :] - shared) - 0.5
         a, b = np.nonzero(np.triu(linked, 1))
         s = shared[a, b].astype(np.int64)
         union = size[a].astype(np.int64) + size[b].astype(np.int64) - s
