@@ -302,9 +302,11 @@ def jaccard_join(
         .withColumn("slot", slot(F.col("text_key")))
         .join(slots, "slot", "left_semi")
     )
-    fetched = wanted.join(
-        texts, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    ).select("node", "bands", "copies", "text")
+    fetched = (
+        wanted.join(texts, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("node", "bands", "copies", "text")
+        .dropDuplicates(["node"])  # rows that repeat both id and text
+    )
 
     total = members.count()
     n_bins = max(1, math.ceil(total / BIN_ROWS))
