@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from panelspark.llm.quality_rules import RULES, STOP_WORDS
+from panelspark.llm.secret_scans import BASE_RULES
+from panelspark.llm.secret_scans import RULES as SECRET_RULES
 
 _STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
 _BOUND = {name: (least, most) for name, _, least, most in RULES}
@@ -82,7 +84,77 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM texts LEFT JOIN hit USING (id) LEFT JOIN listed USING (id)
 """
 
+JACCARD = f"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS words FROM documents),
+cut AS (
+  SELECT id, doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN []
+    ELSE list_transform(range(1, greatest(len(words) - 4, 1) + 1),
+      lambda k: array_to_string(words[k : k + 4], ' ')) END)) AS grams
+  FROM texts
+),
+kinds AS (SELECT min(id) AS kind, grams, len(grams) AS n, count(*) AS copies FROM cut GROUP BY grams),
+apart AS (SELECT kind, n, copies, unnest(grams) AS gram FROM kinds),
+linked AS (
+  SELECT a.kind AS a, b.kind AS b, any_value(b.copies) AS copies
+  FROM apart a JOIN apart b ON a.gram = b.gram AND a.kind <> b.kind AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.kind, b.kind, a.n, b.n
+  HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+),
+reached(kind, other) AS (
+  SELECT kind, kind FROM kinds UNION SELECT reached.kind, b FROM reached JOIN linked ON other = a
+),
+roots AS (SELECT kind, min(other) AS root FROM reached GROUP BY kind),
+links AS (SELECT a AS kind, sum(copies) AS n FROM linked GROUP BY a),
+found AS (
+  SELECT doc_id, root, coalesce(links.n, 0) + copies - 1 AS n_links
+  FROM cut JOIN kinds USING (grams) JOIN roots USING (kind) LEFT JOIN links USING (kind)
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, n_links::BIGINT AS n_links,
+  count(*) OVER (PARTITION BY root) AS class_size
+FROM found
+"""
+
+
+def _matches(order: int) -> str:
+    """Lengths of a rule's matches, of their groups, and of the text before each."""
+    kind, pattern, group, least = SECRET_RULES[order]
+    quoted = pattern.replace("'", "''")
+    return (
+        f"SELECT id, {order} AS kind_order, '{kind}' AS kind, {least} AS least, "
+        f"list_transform(regexp_extract_all(text, '{quoted}'), lambda x: length(x)) AS whole, "
+        f"list_transform(regexp_extract_all(text, '{quoted}', {group}), lambda x: length(x)) AS part, "
+        f"list_transform(regexp_split_to_array(text, '{quoted}'), lambda x: length(x)) AS before FROM texts"
+    )
+
+
+def _spelled(spans: str) -> str:
+    return f"string_agg({spans}, ',' ORDER BY \"start\", kind_order)"
+
+
+SECRETS = f"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({" UNION ALL ".join(_matches(k) for k in range(len(SECRET_RULES)))}),
+placed AS (
+  SELECT id, kind_order, kind, list_sum(before[1 : k]) + coalesce(list_sum(whole[1 : k - 1]), 0) AS "start",
+    whole[k] AS size
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM matched) WHERE part[k] >= least
+),
+spans AS (
+  SELECT *, concat_ws(':', kind, "start"::BIGINT, ("start" + size)::BIGINT) AS span FROM placed
+),
+found AS (
+  SELECT id, {", ".join(f"count(*) FILTER (kind = '{r[0]}') AS n_{r[0]}" for r in BASE_RULES)},
+    {_spelled("span")} FILTER (kind_order < {len(BASE_RULES)}) AS base, {_spelled("span")} AS spans
+  FROM spans GROUP BY id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0)::BIGINT AS n_{r[0]}" for r in BASE_RULES)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN found USING (id)
+"""
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION,
+    "op4_jaccard_join": JACCARD,
     "op5_quality_rules": QUALITY,
+    "op9_secret_scans": SECRETS,
 }
