@@ -43,6 +43,19 @@ def test_pages(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p title=Bob's>{LONG}</p><p>it's here</p></article>", f"{LONG}\nit's here"),
+        (f'<article><p><a href="x"">one</a> two</p><p>{LONG}</p></article>', f"one two\n{LONG}"),
+        (f"<article><p data-x= 'a>b' title = \"c>d\">{LONG}</p></article>", LONG),
+        (f'<article><p "hidden" title=>{LONG}</p><p x="y"hidden>{LONG}</p></article>', LONG),
+    ],
+)
+def test_stray_quotes_end_with_their_tag(page, text):
+    assert extract.main_text(page) == text
+
+
 def test_table(spark):
     rows = [(1, "u", "<article>x</article>", "a"), (1, "u", "<article>x</article>", "a"), (None, None, None, "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
