@@ -1,7 +1,11 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block elements.  What lies in menus, footers, sidebars, notices, adverts,
-forms, scripts, reader comments and hidden elements is left out by element, class, id or role.  The
+forms, scripts, reader comments and hidden elements is left out by element, class, id or role.  A class,
+id or role counts by its whole names and by the leading word of longer ones: "sidebar" and "sidebar-left",
+but not "has-sidebar".  An element left out by one of them, or a form, stays if it holds the page's article
+or main; one with the leading word only also stays if all good blocks of the page lie in such elements and
+are several.  Names in the middle or at the end of a longer one ("site-footer") are left to the passes.  The
 first pass decides the other blocks: a block full of links is bad; one that is long enough and dense in stop
 words is good; outside an article a long one with hardly any is bad.  The rest is ambiguous: short, or
 of middling density.  In the second pass an ambiguous block takes the label of the nearest decided block
@@ -45,7 +49,7 @@ OUT = set(
     "menu head label".split()
 )
 MAIN = {"article", "main"}
-# Words of class, id and role names that mark other parts of a page.
+# Whole class, id and role names, or leading words of them, that mark other parts of a page.
 MARKS = re.compile(
     "^(ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promotion|"
     "banner|cookie|cookies|consent|gdpr|notice|notices|alert|alerts|popup|modal|overlay|newsletter|subscribe|"
@@ -54,6 +58,11 @@ MARKS = re.compile(
     "commentlist|disqus|reply|replies|respond|toolbar|pagination|pager|search|complementary|contentinfo|form)$"
 )
 HEADERS = re.compile("^(header|topbar)$")
+NEGATIONS = {"has", "no", "with"}  # a name after one of these says what the page has, not what the element is
+# Why an element is left out.
+HIDDEN = 1  # hidden, or an element that never holds the page's text
+MARKED = 2  # a form, or a mark as a whole name
+LEADING = 3  # a mark as the leading word of a longer name
 # Elements that end an open one of the first name when they begin.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCKS - {"body", "html", "head"}
@@ -80,28 +89,58 @@ class Block:
     text: str = ""
 
 
-def _left_out(name: str, rest: str, inside: bool) -> bool:
+@dataclass
+class Held:
+    """An article or main in left-out elements, or left out itself."""
+
+    at: int
+    main: bool
+    itself: bool
+    holders: frozenset[int]  # where the left-out elements begin, its own included
+
+
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    articles: list[int] = field(default_factory=lambda: [-1])  # where the article of each zone begins
+    held: list[Held] = field(default_factory=list)
+    leading: list[int] = field(default_factory=list)  # where elements left out by a leading word begin
+
+
+def _left_out(name: str, rest: str, inside: bool) -> int:
+    """Why an element is left out; 0 if it is not."""
+    why = 0
     if name in OUT or (name == "header" and not inside):
-        return True
+        if name != "form":
+            return HIDDEN
+        why = MARKED
     if not rest or rest.isspace() or name in ("html", "body"):
-        return False
+        return why
     for key, *values in ATTRIBUTE.findall(rest):
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return HIDDEN
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key in ("class", "id", "role"):
-            for word in re.split(r"[\s_-]+", value):
-                if MARKS.match(word) or (not inside and HEADERS.match(word)):
-                    return name not in MAIN or word.startswith(("comment", "repl", "related"))
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """Blocks of a page in order, without those of left-out elements."""
-    found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it is left out, whether it is an article
+            return HIDDEN
+        if key in ("class", "id", "role") and why != MARKED:
+            before = ""
+            for token in value.split():
+                word, *more = re.split("[_-]+", token.strip("_-"))
+                if before not in NEGATIONS and (MARKS.match(word) or (not inside and HEADERS.match(word))):
+                    if name not in MAIN or word.startswith(("comment", "repl", "related")):
+                        why = LEADING if more and why != MARKED else MARKED
+                before = token
+    return why
+
+
+def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
+    """Blocks of a page in order, without those of left-out elements.
+
+    Marked elements that begin at a place in ``spared`` are not left out.
+    """
+    parsed = Page()
+    found = parsed.blocks
+    stack: list[tuple[str, int, bool, int]] = []  # element, why it is left out, whether an article, where it begins
     out = articles = zone = links = 0
     zones: list[int] = []
     block = Block(0)
@@ -124,10 +163,10 @@ def blocks(page: str) -> list[Block]:
     def close(depth: int) -> None:
         nonlocal out, links, zone
         while len(stack) > depth:
-            name, left_out, article = stack.pop()
+            name, left_out, article, _ = stack.pop()
             if name in BLOCKS:
                 flush()
-            out -= left_out
+            out -= left_out > 0
             links -= name == "a"
             if article:
                 zones.pop()
@@ -176,23 +215,33 @@ def blocks(page: str) -> list[Block]:
             add(" ")
         if name in VOID or tag["rest"].endswith("/") and name not in BLOCKS:
             continue
-        left_out = not out and _left_out(name, tag["rest"], zone > 0)
+        left_out = _left_out(name, tag["rest"], zone > 0)
+        if left_out != HIDDEN and tag.start() in spared:
+            left_out = 0
+        if left_out == LEADING:
+            parsed.leading.append(tag.start())
         article = name in MAIN or 'role="main"' in tag["rest"]
-        article = article and not out and not left_out
+        if article and (out or left_out):
+            article = False
+            why = [(e[1], e[3]) for e in stack if e[1]] + [(left_out, tag.start())] * (left_out > 0)
+            if all(w != HIDDEN for w, _ in why):
+                main = name == "main" or 'role="main"' in tag["rest"]
+                parsed.held.append(Held(tag.start(), main, left_out > 0, frozenset(at for _, at in why)))
         if article:
             if not (name == "main" or 'role="main"' in tag["rest"]) or "<article" not in page[at:].lower():
                 articles += 1
+                parsed.articles.append(tag.start())
                 zones.append(articles)
                 zone = articles
                 block.zone = zone
             else:
                 article = False  # articles inside say more
-        stack.append((name, left_out, article))
-        out += left_out
+        stack.append((name, left_out, article, tag.start()))
+        out += left_out > 0
         links += name == "a"
     close(0)
     flush()
-    return found
+    return parsed
 
 
 def _first_pass(block: Block) -> bool | None:
@@ -209,9 +258,39 @@ def _first_pass(block: Block) -> bool | None:
     return None
 
 
+def _good_size(found: list[Block]) -> int:
+    return sum(len(b.text) for b in found if _first_pass(b))
+
+
+def _whole(page: str) -> Page:
+    """The blocks of a page, with left-out elements put back that hold its article, main or text."""
+    parsed = blocks(page)
+    if any(b.zone for b in parsed.blocks) and not any(h.main for h in parsed.held):
+        return parsed
+    mains = [h.holders for h in parsed.held if h.main]
+    if mains:
+        return blocks(page, frozenset().union(*mains))
+    if parsed.held:
+        outside = _good_size(parsed.blocks)
+        trial = blocks(page, frozenset().union(*(h.holders for h in parsed.held)))
+        sizes = dict.fromkeys(trial.articles, 0)
+        for b in trial.blocks:
+            sizes[trial.articles[b.zone]] += len(b.text) if _first_pass(b) else 0
+        # a comment or teaser by its own name is the page's article only if nothing else is good
+        own = [h for h in parsed.held if not h.itself] or ([] if outside else parsed.held)
+        best = max(own, key=lambda h: sizes.get(h.at, 0), default=None)
+        if best and (sizes.get(best.at, 0) > outside or not outside):
+            return blocks(page, best.holders)
+    if parsed.leading and not _good_size(parsed.blocks):
+        trial = blocks(page, frozenset(parsed.leading))
+        if sum(_first_pass(b) is True for b in trial.blocks) > 1:
+            return trial
+    return parsed
+
+
 def main_text(page: str | None) -> str:
     """The good blocks of a page, joined by line ends."""
-    found = blocks(page or "")
+    found = _whole(page or "").blocks
     if any(b.zone for b in found):
         found = [b for b in found if b.zone]
     labels = [_first_pass(b) for b in found]

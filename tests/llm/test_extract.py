@@ -43,6 +43,33 @@ def test_pages(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class=has-sidebar><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='page no-sidebar'><p>{LONG}</p><p>{COMMENT}</p></div>", f"{LONG}\n{COMMENT}"),
+        (f"<div class='content-with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<div class='with sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<article class='post has-comments'><p>{LONG}</p></article>", LONG),
+        (f"<div class=sidebar-right><main><p>{LONG}</p></main><div class=sidebar>{COMMENT}</div></div>", LONG),
+        (f"<div class=widget><div id=search-page><article><p>{LONG}</p></article></div></div>", LONG),
+        (f"<form id=f><nav>x</nav><article><p>{LONG}</p></article></form>", LONG),
+        (f"<div class=sidebar-right><p>{LONG}</p><p>{COMMENT}</p></div>", f"{LONG}\n{COMMENT}"),
+        (f"<div class=sidebar-right><p>{COMMENT}</p><p>{COMMENT}</p></div><p>{LONG}</p>", LONG),
+        (f"<article class=comments-open><p>{LONG}</p></article>", LONG),
+        # parts of other kinds stay left out, also with articles inside
+        (f"<article><p>one</p></article><div id=comments><article><p>{COMMENT}</p></article></div>", "one"),
+        (f"<article><p>one</p></article><article class=comment-7><p>{COMMENT}</p></article>", "one"),
+        (f"<p>{LONG}</p><div class=related-posts><article><p>Short.</p></article></div>", LONG),
+        (f"<p>{LONG}</p><article class=comment><p>{COMMENT}{COMMENT}</p></article>", LONG),
+        (f"<div class=sidebar-left><p>{COMMENT}</p></div><div class=ad-slot>{COMMENT}</div><p>{LONG}</p>", LONG),
+        (f"<p>{LONG}</p><div hidden class=x><main><p>{COMMENT}</p></main></div>", LONG),
+    ],
+)
+def test_marks_do_not_take_the_page(page, text):
+    assert extract.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
