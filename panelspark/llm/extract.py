@@ -10,8 +10,9 @@ first pass decides the other blocks: a block full of links is bad; one that is l
 words is good; outside an article a long one with hardly any is bad.  The rest is ambiguous: short, or
 of middling density.  In the second pass an ambiguous block takes the label of the nearest decided block
 before and after it; if they differ, that of the nearer one, and good in a tie.  The edges of an
-article count as good blocks, those of the page as bad ones.  Where a page has an article, only blocks
-inside it are kept.
+article count as good blocks, those of the page as bad ones.  Where a page has an article or
+main, only blocks inside them are kept.  The blocks of a main outside the articles in it are dropped only if
+these articles hold all of its good blocks, or one of them most of its good text.
 
 A null or empty page, and one without good blocks, has an empty text.  Repeated rows give the same text;
 extra columns are not read.
@@ -87,6 +88,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    loose: bool = False  # its text lies directly in a div
 
 
 @dataclass
@@ -103,6 +105,8 @@ class Held:
 class Page:
     blocks: list[Block] = field(default_factory=list)
     articles: list[int] = field(default_factory=lambda: [-1])  # where the article of each zone begins
+    around: list[int] = field(default_factory=lambda: [0])  # the zone around each zone
+    mains: set[int] = field(default_factory=set)  # the zones that are mains
     held: list[Held] = field(default_factory=list)
     leading: list[int] = field(default_factory=list)  # where elements left out by a leading word begin
 
@@ -156,6 +160,8 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
 
     def add(text: str) -> None:
         if not out and text:
+            if zone and not block.parts:
+                block.loose = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "") == "div"
             block.parts.append(text)
             if links:
                 block.linked += len(text)
@@ -220,22 +226,22 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
             left_out = 0
         if left_out == LEADING:
             parsed.leading.append(tag.start())
-        article = name in MAIN or 'role="main"' in tag["rest"]
+        main = name == "main" or 'role="main"' in tag["rest"]
+        article = main or name in MAIN
         if article and (out or left_out):
             article = False
             why = [(e[1], e[3]) for e in stack if e[1]] + [(left_out, tag.start())] * (left_out > 0)
             if all(w != HIDDEN for w, _ in why):
-                main = name == "main" or 'role="main"' in tag["rest"]
                 parsed.held.append(Held(tag.start(), main, left_out > 0, frozenset(at for _, at in why)))
         if article:
-            if not (name == "main" or 'role="main"' in tag["rest"]) or "<article" not in page[at:].lower():
-                articles += 1
-                parsed.articles.append(tag.start())
-                zones.append(articles)
-                zone = articles
-                block.zone = zone
-            else:
-                article = False  # articles inside say more
+            articles += 1
+            parsed.articles.append(tag.start())
+            parsed.around.append(zone)
+            if main:
+                parsed.mains.add(articles)
+            zones.append(articles)
+            zone = articles
+            block.zone = zone
         stack.append((name, left_out, article, tag.start()))
         out += left_out > 0
         links += name == "a"
@@ -288,11 +294,43 @@ def _whole(page: str) -> Page:
     return parsed
 
 
+def _emptied(parsed: Page) -> set[int]:
+    """The mains whose own blocks are dropped, as articles inside say more."""
+    inside: dict[int, set[int]] = {m: set() for m in parsed.mains}
+    for zone in range(1, len(parsed.around)):
+        outer = parsed.around[zone]
+        while outer:
+            if outer in inside and zone not in parsed.mains:
+                inside[outer].add(zone)
+                break
+            outer = parsed.around[outer]
+    of: dict[int, list[tuple[int, Block]]] = {}
+    for i, b in enumerate(parsed.blocks):
+        of.setdefault(b.zone, []).append((i, b))
+    emptied = set()
+    for m, articles in inside.items():
+        articles = [a for a in articles if a in of]
+        if not articles:
+            continue
+        own = [(i, b) for i, b in of.get(m, []) if _first_pass(b)]
+        size = sum(len(b.text) for _, b in own)
+        sizes = [_good_size([b for _, b in of[a]]) for a in articles]
+        if sum(sizes):
+            if not own or 2 * max(sizes) > size + sum(sizes):
+                emptied.add(m)
+        # a single loose block behind an article is no story
+        elif len(own) == 1 and own[0][1].loose and own[0][0] > min(of[a][0][0] for a in articles):
+            emptied.add(m)
+    return emptied
+
+
 def main_text(page: str | None) -> str:
     """The good blocks of a page, joined by line ends."""
-    found = _whole(page or "").blocks
+    parsed = _whole(page or "")
+    found = parsed.blocks
     if any(b.zone for b in found):
-        found = [b for b in found if b.zone]
+        emptied = _emptied(parsed) if parsed.mains else ()
+        found = [b for b in found if b.zone and b.zone not in emptied]
     labels = [_first_pass(b) for b in found]
     n = len(found)
     before: list[tuple[int, bool]] = []

@@ -70,6 +70,25 @@ def test_marks_do_not_take_the_page(page, text):
     assert extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<main><p>{LONG}</p><article class=card>teaser</article></main>", f"{LONG}\nteaser"),
+        (f"<main><article class=card>teaser</article><p>{LONG}</p></main>", f"teaser\n{LONG}"),
+        (f"<main><div>{LONG}</div><article class=card>teaser</article></main>", f"{LONG}\nteaser"),
+        (f"<div role=\"main\"><p>{LONG}</p></div><article>teaser</article>", f"{LONG}\nteaser"),
+        (f"<main><p>{LONG}</p><aside><article><p>{COMMENT}</p></article></aside></main>", LONG),
+        (f"<div>{COMMENT}</div><main><p>kept</p></main><!-- <article> --><script>'<article>'</script>", "kept"),
+        (f"<main><p>{LONG}</p>{f'<article><p>{COMMENT}</p></article>' * 2}</main>", f"{LONG}\n{COMMENT}\n{COMMENT}"),
+        # an article inside that holds the good blocks, or most of the good text
+        (f"<main><h1>Site</h1><article><p>{LONG}</p></article></main>", LONG),
+        (f"<main><p>{COMMENT}</p><article><p>{LONG}</p><p>{LONG}</p></article></main>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_main_keeps_its_story(page, text):
+    assert extract.main_text(page) == text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
