@@ -37,9 +37,23 @@ BASE_RULES = (
     ("access", "AKIA[A-Z0-9]+", 0, 16),
     ("hex", "[0-9a-f]{32,}", 0, 32),
 )
+# A private key runs from its BEGIN line to its END line, with no other such line between them.  Without an
+# END it runs over header fields and base64 text to the last base64 line; the last lines may be short.  Only
+# classes of characters repeat without a bound, so no engine recurses over a long body.
+_KEY_END = "[^-]*(?:-[^-]+){0,200}-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
+_KEY_FIELDS = "(?:[\\x20\\t\\r\\n]*[A-Z][A-Za-z]{1,20}-[A-Za-z]{1,20}:[^\\r\\n]*){0,4}"
+_KEY_TEXT = "(?:[A-Za-z0-9+/=\\x20\\t\\r\\n\\x22\\x27\\x5c]*[A-Za-z0-9+/=]{16})?[A-Za-z0-9+/=]*"
+_KEY_LINES = (
+    "(?:[\\x20\\t]*[\\r\\n]{1,4}(?:[\\x20\\t]*[A-Za-z0-9+/]+={0,2}[\\x20\\t]*(?:\\r?\\n|\\z)){1,200})?"
+)
 # Forms of published key and token formats.
 MORE_RULES = (
-    ("private_key", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    (
+        "private_key",
+        f"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_KEY_END}|{_KEY_FIELDS}{_KEY_TEXT}{_KEY_LINES})",
+        0,
+        1,
+    ),
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 28),

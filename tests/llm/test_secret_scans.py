@@ -98,6 +98,36 @@ def test_redaction_replaces_spans_and_keeps_rows(spark):
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter((i, masked(t)) for i, t in ROWS)
 
 
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+BODY = "\n".join("Zq/9+K" * 10 + f"{k:04}" for k in range(25)) + "\nZq/9+K=="
+FIELDS = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+ESCAPED = BODY.replace("\n", "\\n")
+PEMS = [
+    (300, f"before {BEGIN}\n{BODY}\n{END}\nafter it.", "before [SECRET]\nafter it."),
+    (301, f"{BEGIN}\r\n{FIELDS}{BODY}\r\n{END} and {BEGIN}\n{BODY}\n{END}.", "[SECRET] and [SECRET]."),
+    (302, f'key = "{BEGIN}\\n{ESCAPED}\\n{END}\\n"', 'key = "[SECRET]\\n"'),
+    (303, f"no end {BEGIN}\n{BODY}\nThe text goes on, with words.", "no end [SECRET]The text goes on, with words."),
+    (304, f"{BEGIN}\n{FIELDS}{BODY}", "[SECRET]"),
+    (305, f"cut {BEGIN}\nZq/9+K", "cut [SECRET]"),
+    (306, f"{BEGIN}\n{BODY}\n\nText. {BEGIN}\n{BODY}\n{END} ends", "[SECRET]\nText. [SECRET] ends"),
+    (307, f"a {BEGIN} alone, and {END} is no key", "a [SECRET] is no key"),
+    (308, f"the line {BEGIN} begins a key.", "the line [SECRET] begins a key."),
+    (309, f"{BEGIN}\n" + "Zq/9+KZq/9+KZq/9\n" * 60_000 + f"{END}.", "[SECRET]."),
+    (310, f"{BEGIN}\n" + "Zq/9+KZq/9+KZq/9\n" * 60_000 + "The end.", "[SECRET]\nThe end."),
+    (311, f"{BEGIN}\n" + "Zq/9+K\n" * 150 + "The end.", "[SECRET]The end."),
+    (312, f"-{BEGIN}\n-" + BODY.replace("\n", "\n-") + f"\n-{END}\n+none", "-[SECRET]\n+none"),
+]
+
+
+def test_private_keys_go_whole(spark):
+    """The header, the body and the END line."""
+    out = secret_scans.redact(documents(spark, [(i, t) for i, t, _ in PEMS])).collect()
+    assert {r.doc_id: r.text for r in out} == {i: kept for i, _, kept in PEMS}
+    found = secret_scans.scan(documents(spark, [PEMS[0][:2]])).first().spans
+    text = PEMS[0][1]
+    assert [(s.kind, s.start, s.end) for s in found] == [("private_key", 7, text.index(END) + len(END))]
+
+
 def test_no_python_runs(spark):
     found = secret_scans.redact(documents(spark, ROWS))
     plan = found._jdf.queryExecution().executedPlan().toString()
