@@ -11,10 +11,11 @@ SAMPLE_ROWS = 20_000
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label): distinct texts of at most ``rows`` labelled ids that are not held out.
+    """(text, label): at most ``rows`` distinct texts of labelled ids that are not held out.
 
-    The ids come in the order of their hash, so the choice does not depend on where rows lie.  Ids
-    with contradicting labels, null labels and null texts are left out.
+    The ids come in the order of their hash, and so do the texts, one of each id before the others, so
+    the choice does not depend on where rows lie and an id with many texts leaves room for all ids.
+    Ids with contradicting labels, null labels and null texts are left out.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
@@ -27,4 +28,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text IS NOT NULL")
-    return texts.join(F.broadcast(ids), "id").dropDuplicates(["text", "label"]).select("text", "label")
+    found = (
+        texts.join(F.broadcast(ids), "id")
+        .groupBy("text", "label")
+        .agg(F.min("id").alias("id"))
+        .withColumn("hash", F.xxhash64("id", "text"))
+    )
+    # only hashes are put in order, so no task gathers texts
+    one = found.groupBy("id").agg(F.min("hash").alias("hash")).select("hash", F.lit(0).alias("turn"))
+    others = found.select("hash").orderBy("hash").limit(rows).select("hash", F.lit(1).alias("turn"))
+    chosen = one.union(others).groupBy("hash").agg(F.min("turn").alias("turn"))
+    chosen = chosen.orderBy("turn", "hash").limit(rows).select("hash")
+    return found.join(F.broadcast(chosen), "hash").select("text", "label")

@@ -1,11 +1,12 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from cases import documents
 from pyspark.sql import functions as F
 
-from panelspark.llm import quality_model
+from panelspark.llm import quality_model, sample
 from panelspark.llm.common import read
 from panelspark.llm.queries import op2_toxicity, op7_quality_classifier
 
@@ -23,6 +24,17 @@ def made(n=300):
     return rows, labels
 
 
+def test_sample_is_bounded_by_texts(spark):
+    """An id with many texts; each other id keeps its text."""
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5]
+    rows = [(ids[0], f"hot text {k}") for k in range(700)] + [(k, f"text of {k}") for k in ids[1:]]
+    labels = spark.createDataFrame([(k, int(k == ids[0])) for k in ids], "doc_id long, quality int")
+    taken = [sample.labelled(documents(spark, r), labels, "quality", 200).collect() for r in (rows, rows[::-1])]
+    assert len(taken[0]) == 200 and sorted(taken[0]) == sorted(taken[1])
+    assert {r.text for r in taken[0] if r.label == 0} == {t for _, t in rows[700:]}
+    assert sample.labelled(documents(spark, rows), labels, "quality").count() == len(rows)
+
+
 def test_pairs_rank_texts():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 14))
