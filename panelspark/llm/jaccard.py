@@ -10,8 +10,8 @@ remaining gathering is verified inside a task on the full shingle sets: the Jacc
 pair of it comes from one matrix product, and nothing is emitted per pair.  A pair is counted only in
 the first band it shares, so no link is counted twice.  What leaves the task is linear: the number
 of links of each member and the edges of a spanning forest, from which large-star/small-star rounds
-make the classes.  A gathering of more than BLOCK members is compared block against block, in
-separate tasks.
+make the classes.  A gathering of more than BLOCK members or BLOCK_BYTES of text is compared block against
+block, in separate tasks.
 
 Nulls: a null text is an empty one; texts without words form one class (their sets are equal).
 Rows are told apart by a stored number, so repeated ids and repeated rows are each one document.
@@ -38,7 +38,9 @@ RECALL = 0.998
 MAX_HASHES = 160
 BLOCK = 2048  # members of a gathering verified against each other in one task
 SALTS = 16  # parts that the rows of a class are split into when they meet its name
+BLOCK_BYTES = 1 << 24  # bytes of text of a block, about; a longer text is a block of its own
 BIN_ROWS = 3000  # members of small gatherings that share a task's group
+BIN_BYTES = 1 << 24  # bytes of text of small gatherings that share a task's group, about
 HOT = 1000  # a node with more than one in so many of the edges meets its least neighbour by a broadcast
 
 
@@ -82,7 +84,7 @@ def gram_sets(raw: np.ndarray, starts: np.ndarray, ngram: int) -> tuple[np.ndarr
 def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     """One row per document: row_id, doc_id, a key of its text, two keys of its set, band hashes."""
     schema = (
-        "row_id long, doc_id long, text_key long, set_a long, set_b long, n_grams long, bands array<long>"
+        "row_id long, doc_id long, text_key long, set_a long, set_b long, n_grams long, size long, bands array<long>"
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +125,10 @@ def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
                     pa.array(np.concatenate(keys_a).view(np.int64)),
                     pa.array(np.concatenate(keys_b).view(np.int64)),
                     pa.array(np.concatenate(sizes).astype(np.int64)),
+                    pa.array(np.diff(starts)),
                     lists,
                 ],
-                names=["row_id", "doc_id", "text_key", "set_a", "set_b", "n_grams", "bands"],
+                names=["row_id", "doc_id", "text_key", "set_a", "set_b", "n_grams", "size", "bands"],
             )
 
     numbered = docs.select(
@@ -244,12 +247,38 @@ def components(steps: Steps, edges: DataFrame, name: str = "star", rounds: int =
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _place(members: DataFrame, block: int, block_bytes: int, bin_bytes: int = BIN_BYTES) -> DataFrame:
+    """``members`` of gatherings with the blocks and the bin, one task's group, in which each is compared."""
+    total, size = members.agg(F.count("*"), F.sum("size")).first()
+    n_bins = max(1, math.ceil(total / BIN_ROWS), math.ceil((size or 0) / bin_bytes))
+    by_bytes = F.least("members", F.ceil(F.col("bytes") / block_bytes))
+    blocks = F.greatest(F.ceil(F.col("members") / block), by_bytes).cast("int")
+    own_block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    small = (F.col("members") * 4 <= block) & (F.col("bytes") * 4 <= block_bytes)
+    return (
+        members.withColumn("blocks", blocks)
+        .withColumn("block", own_block)
+        .select("*", other)
+        .withColumn("block_a", F.least("block", "other"))
+        .withColumn("block_b", F.greatest("block", "other"))
+        .withColumn(
+            "bin",
+            F.when(small, F.pmod(F.xxhash64("band", "hash"), F.lit(n_bins))).otherwise(
+                F.xxhash64("band", "hash", "block_a", "block_b")
+            ),
+        )
+        .select("node", "band", "hash", "block", "block_a", "block_b", "bin")
+    )
+
+
 def jaccard_join(
     docs: DataFrame,
     threshold: float = THRESHOLD,
     ngram: int = NGRAM,
     recall: float = RECALL,
     block: int = BLOCK,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per document: row_id, doc_id, text_key, class_row, class_id, n_links, class_size, copies.
 
@@ -262,18 +291,19 @@ def jaccard_join(
     signed = steps.store(signatures(docs, ngram, bands, rows), "signatures")
 
     sets = ["set_a", "set_b", "n_grams"]
-    first = F.min(F.struct("row_id", "doc_id", "text_key", "bands"))
+    first = F.min(F.struct("row_id", "doc_id", "text_key", "size", "bands"))
     classes = steps.store(
         signed.groupBy(*sets)
         .agg(first.alias("r"), F.count("*").alias("copies"))
-        .select(*sets, F.col("r.row_id").alias("node"), "r.doc_id", "r.text_key", "r.bands", "copies"),
+        .select(*sets, F.col("r.row_id").alias("node"), "r.doc_id", "r.text_key", "r.size", "r.bands", "copies"),
         "classes",
     )
-    banded = classes.filter("n_grams > 0").select("node", F.posexplode("bands").alias("band", "hash"))
+    banded = classes.filter("n_grams > 0").select("node", "size", F.posexplode("bands").alias("band", "hash"))
     gathered = (
         banded.groupBy("band", "hash")
         .agg(
             F.count("*").alias("members"),
+            F.sum("size").alias("bytes"),
             F.min("node").alias("least"),
             F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all_nodes"),
         )
@@ -281,8 +311,8 @@ def jaccard_join(
     )
     kept = steps.store(
         gathered.groupBy("members", "least", "all_nodes")
-        .agg(F.min(F.struct("band", "hash")).alias("b"))
-        .select("b.band", "b.hash", "members"),
+        .agg(F.min(F.struct("band", "hash")).alias("b"), F.min("bytes").alias("bytes"))
+        .select("b.band", "b.hash", "members", "bytes"),
         "kept",
     )
     members = steps.store(banded.join(kept, ["band", "hash"]), "members")
@@ -308,25 +338,7 @@ def jaccard_join(
         .dropDuplicates(["node"])  # rows that repeat both id and text
     )
 
-    total = members.count()
-    n_bins = max(1, math.ceil(total / BIN_ROWS))
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own_block = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = (
-        members.withColumn("blocks", blocks)
-        .withColumn("block", own_block)
-        .select("*", other)
-        .withColumn("block_a", F.least("block", "other"))
-        .withColumn("block_b", F.greatest("block", "other"))
-        .withColumn(
-            "bin",
-            F.when(F.col("members") * 4 <= block, F.pmod(F.xxhash64("band", "hash"), F.lit(n_bins))).otherwise(
-                F.xxhash64("band", "hash", "block_a", "block_b")
-            ),
-        )
-        .select("node", "band", "hash", "block", "block_a", "block_b", "bin")
-    )
+    placed = _place(members, block, block_bytes)
     verified = steps.store(
         placed.join(fetched, "node")
         .groupBy("bin")

@@ -54,6 +54,29 @@ def test_near_copies_keep_every_link(spark, block):
     compare(found, rows)
 
 
+def test_long_near_copies_keep_every_link(spark):
+    rows = near_copies(160) + [(1000 + k, f"alone {k} " * 7) for k in range(20)]
+    found = jaccard.jaccard_join(documents(spark, rows), recall=0.999999, block_bytes=10_000).collect()
+    compare(found, rows)
+
+
+def test_groups_are_bounded_in_bytes(spark):
+    """A gathering of 200 long texts, 300 pairs of them, and one gathering of two texts beyond the bound."""
+    many = [(k, 1_000_000, 0, 7, 200, 200_000_000) for k in range(200)]
+    pairs = [(1000 + k, 1_000_000, 0, 100 + k // 2, 2, 2_000_000) for k in range(600)]
+    two = [(9000 + k, 90_000_000, 0, 9, 2, 180_000_000) for k in range(2)]
+    schema = "node long, size long, band int, hash long, members long, bytes long"
+    members = spark.createDataFrame(many + pairs + two, schema)
+    placed = jaccard._place(members, 2048, 16_000_000, 16_000_000).join(members.select("node", "size"), "node")
+    groups = {}
+    for r in placed.collect():
+        groups.setdefault(r.bin, []).append(r)
+    assert max(sum(r["size"] for r in g) for g in groups.values() if g[0].hash != 9) <= 64_000_000
+    assert all(len(g) <= 2 for g in groups.values() if g[0].hash == 9)
+    met = {(a.node, b.node) for g in groups.values() for a in g for b in g if a.hash == b.hash and a.node < b.node}
+    assert len(met) == 200 * 199 // 2 + 300 + 1
+
+
 def test_chains_join_one_class(spark):
     words = [f"c{k}" for k in range(400)]
     rows = [(k, " ".join(words[k * 4 : k * 4 + 120])) for k in range(60)]
