@@ -152,9 +152,72 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0)::BIGINT AS n_{r[0]}" for r in
 FROM texts LEFT JOIN found USING (id)
 """
 
+FILL_MIDDLE = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens
+  FROM documents
+),
+drawn AS (
+  SELECT *, len(tokens)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM hashed
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parted AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle,
+    array_to_string(tokens[b + 1:n], '') AS suffix
+  FROM cut
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parted
+"""
+
+SEARCH = f"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, {_WORDS} AS words FROM documents),
+asked AS (
+  SELECT DISTINCT item, item_id, unnest(words) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS words FROM benchmark)
+),
+held AS (SELECT id, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM texts),
+used AS (
+  SELECT id, doc_id, n, term, count(*)::BIGINT AS tf FROM held
+  WHERE term IN (SELECT term FROM asked) GROUP BY id, doc_id, n, term
+),
+corpus AS (SELECT count(*)::BIGINT AS n_docs, sum(len(words))::BIGINT AS total FROM texts WHERE len(words) > 0),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM used, corpus GROUP BY term, n_docs
+),
+scored AS (
+  SELECT item, item_id, id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // total))))::BIGINT AS score
+  FROM asked JOIN used USING (term) JOIN weighed USING (term), corpus
+  GROUP BY item, item_id, id, doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 ORACLE: dict[str, str] = {
     "op3_decontamination": DECONTAMINATION,
     "op4_jaccard_join": JACCARD,
     "op5_quality_rules": QUALITY,
     "op9_secret_scans": SECRETS,
+    "op12_fill_in_middle": FILL_MIDDLE,
+    "op13_lexical_search": SEARCH,
 }

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from panelspark.llm import (
     decontaminate,
     extract,
+    fill_middle,
     jaccard,
     packing,
     quality_model,
     quality_rules,
+    search,
     secret_scans,
     shard,
     token_counts,
@@ -113,6 +115,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cut = fill_middle.fill_in_middle(docs)
+    restored = fill_middle.restore(F.col("fim.output"), F.col("fim.form"))
+    return cut.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        "fim.prefix_chars",
+        "fim.middle_chars",
+        F.sha2(F.col("fim.output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -126,5 +148,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_secret_scans,
         op10_html_extraction,
+        op12_fill_in_middle,
+        op13_lexical_search,
     )
 }

@@ -1,0 +1,115 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import DOCS, documents, words
+
+from panelspark.llm import search
+
+
+def brute(docs, items, top=10):
+    """Rows (item_id, rank, doc_id, score) by scoring every document for every item."""
+    bags = [Counter(words(t)) for _, t in docs]
+    lengths = [sum(b.values()) for b in bags]
+    n_docs, total = sum(n > 0 for n in lengths), sum(lengths)
+    held = Counter(t for b in bags for t in b)
+    out = []
+    for item, text in items:
+        scored = []
+        for (doc, _), bag, n in zip(docs, bags, lengths, strict=True):
+            m = 100 - 90 + (90 * n * n_docs) // max(total, 1)
+            score = 0
+            for term in set(words(text)) & set(bag):
+                w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * held[term] + 1)))
+                score += w * ((10**9 * bag[term]) // (1000 * bag[term] + 8 * m))
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        for rank, (score, _, _, doc) in enumerate(sorted(scored)[:top], 1):
+            out.append((item, rank, doc, -score))
+    return sorted(out, key=repr)
+
+
+def table(spark, items):
+    return spark.createDataFrame(
+        [(i, t, "x", 1) for i, t in items], "item_id long, text string, score string, rank int"
+    )
+
+
+def run(spark, docs, items, **options):
+    found = search.search(documents(spark, docs), table(spark, items), **options)
+    return sorted(((r.query_id, r.rank, r.doc_id, r.score) for r in found.collect()), key=repr)
+
+
+def corpus(n, seed=4):
+    draw = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    rows = [(k, " ".join(draw.choices(vocabulary, weights, k=draw.randrange(1, 60)))) for k in range(n)]
+    items = [(k, " ".join(draw.choices(vocabulary, weights, k=draw.randrange(1, 25)))) for k in range(25)]
+    return rows, items
+
+
+ITEMS = [
+    (1, "The QUICK fox and the river"),
+    (2, None),
+    (3, ""),
+    (4, "no such words occurhere"),
+    (5, "日本語 ünïcödé"),
+    (6, "one"),
+    (6, "one"),
+    (None, "w1x1 fox"),
+]
+
+
+def test_edge_cases_equal_brute_force(spark):
+    assert run(spark, DOCS, ITEMS) == brute(DOCS, ITEMS)
+
+
+@pytest.mark.parametrize(
+    "options",
+    [
+        {},
+        {"short": 1},  # all lists are summed first
+        {"short": 10**9},  # none is, beyond one posting
+        {"segment_docs": 7, "short": 4},
+        {"segment_postings": 50, "short": 3},
+        {"query_terms_of_block": 40},
+        {"top": 3},
+    ],
+)
+def test_equals_brute_force(spark, options):
+    docs, items = corpus(400)
+    assert run(spark, docs, items, **options) == brute(docs, items, options.get("top", 10))
+
+
+def test_ties_come_by_id(spark):
+    docs = [(k * 7 % 97, "alpha beta") for k in range(97)] + [(None, "alpha beta")] * 3 + [(500, "gamma")]
+    items = [(1, "alpha"), (2, "beta gamma")]
+    assert run(spark, docs, items, segment_docs=11) == brute(docs, items)
+
+
+def test_null_ids_are_ranked_last(spark):
+    docs = [(None, "alpha")] * 2 + [(3, "alpha"), (9, "other")]
+    assert run(spark, docs, [(1, "alpha")]) == brute(docs, [(1, "alpha")])
+
+
+def test_empty(spark):
+    assert run(spark, [], ITEMS) == [] and run(spark, DOCS, []) == []
+
+
+def test_lists_that_cannot_reach_the_tenth_are_skipped(monkeypatch):
+    draw = np.random.default_rng(5)
+    rare, gain = np.sort(draw.choice(100_000, 200, replace=False)), draw.integers(900, 1000, 200)
+    common, small = np.arange(100_000), draw.integers(1, 50, 100_000)
+    looked = []
+    plain = search._look_up
+    monkeypatch.setattr(search, "_look_up", lambda d, g, w: looked.append(len(w)) or plain(d, g, w))
+    best = search._Best(10)
+    search.search_segment([(rare, gain), (common, small)], 500, np.arange(100_000), best)
+    whole = small.copy()
+    whole[rare] += gain
+    order = np.lexsort((np.arange(100_000), -whole))[:10]
+    assert best.ids.tolist() == order.tolist() and best.scores.tolist() == whole[order].tolist()
+    assert sum(looked) < 1000
