@@ -152,6 +152,35 @@ SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0)::BIGINT AS n_{r[0]}" for r in
 FROM texts LEFT JOIN found USING (id)
 """
 
+VECTORS = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+),
+placed AS (
+  SELECT row, vec_id, v, coalesce(list_bool_and(list_transform(v, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(v, lambda x: x <> 0)), false) AS valid
+  FROM sound
+),
+links AS (
+  SELECT a.row AS row, b.row AS other FROM placed a JOIN placed b
+    ON a.valid AND b.valid AND a.row <> b.row AND len(a.v) = len(b.v)
+  WHERE CASE WHEN a.valid AND b.valid AND len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= 0.95 END
+),
+reached AS (
+  SELECT row, row AS other FROM placed
+  UNION
+  SELECT reached.row, links.other FROM reached JOIN links ON reached.other = links.row
+),
+named AS (
+  SELECT reached.row, min(o.vec_id) AS component_id
+  FROM reached JOIN placed o ON reached.other = o.row GROUP BY reached.row
+),
+counted AS (SELECT row, count(*) AS n FROM links GROUP BY row)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id,
+  (vec_id IS NOT DISTINCT FROM component_id) AS kept
+FROM placed JOIN named USING (row) LEFT JOIN counted USING (row)
+"""
+
 FILL_MIDDLE = """
 WITH hashed AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
@@ -218,6 +247,7 @@ ORACLE: dict[str, str] = {
     "op4_jaccard_join": JACCARD,
     "op5_quality_rules": QUALITY,
     "op9_secret_scans": SECRETS,
+    "op11_embedding_near_dedup": VECTORS,
     "op12_fill_in_middle": FILL_MIDDLE,
     "op13_lexical_search": SEARCH,
 }

@@ -11,6 +11,7 @@ from panelspark.llm import (
     extract,
     fill_middle,
     jaccard,
+    near_vectors,
     packing,
     quality_model,
     quality_rules,
@@ -115,6 +116,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = fill_middle.fill_in_middle(docs)
@@ -148,6 +153,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_secret_scans,
         op10_html_extraction,
+        op11_embedding_near_dedup,
         op12_fill_in_middle,
         op13_lexical_search,
     )

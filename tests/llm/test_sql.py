@@ -10,7 +10,7 @@ from panelspark.llm import oracle, queries
 @pytest.mark.parametrize("key", list(oracle.ORACLE))
 def test_query_equals_sql(spark, sf_dir, key):
     engine = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         engine.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     expected = engine.sql(oracle.ORACLE[key])
     names = sorted(expected.columns)
