@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from panelspark.functions import safe_ratio
 from panelspark.operators import (
     aggregates,
+    asof,
     cohorts,
     documents,
     entities,
+    frames,
     impact,
+    intervals,
+    ranks,
     season,
     slices,
     trade,
@@ -448,6 +452,75 @@ def loss_above_average(spark, sf):
     return _rounded(result, "avg_loss", "avg_population", "avg_gdp", "pct_loss")
 
 
+# Frames by value, as-of and interval joins, whole-table ranks
+
+
+def range_frame_pairs(spark, sf):
+    """Each order against all orders of its customer in its year and the year before."""
+    measures = {
+        "n_frame": ("count", "order_key"),
+        "frame_value": ("sum", "value"),
+        "smallest": ("min", "value"),
+        "largest": ("max", "value"),
+        "avg_value": ("avg", "value"),
+        "types": ("values", "type"),
+    }
+    framed = frames.range_frame(star.dated_orders(spark, sf), "entity", "year", measures)
+    return _rounded(framed.withColumn("types", F.array_join("types", "")), "avg_value").drop("ordered")
+
+
+def range_frame_members(spark, sf):
+    """The orders of each customer in each year and the year before it, oldest year first."""
+    members = frames.frame_members(star.dated_orders(spark, sf), "entity", "year", ["order_key"])
+    listed = F.transform("members", lambda m: F.concat(m["year"], F.lit(":"), m["order_key"]))
+    return members.select("entity", "year", F.array_join(listed, " ").alias("members"))
+
+
+def falling_frames(spark, sf):
+    """Orders smaller than every order of their customer in the year before."""
+    return frames.falling_frames(star.dated_orders(spark, sf), "entity", "year", "value").select(
+        "entity", "year", "order_key", "value", "previous_value"
+    )
+
+
+def asof_rates(spark, sf):
+    """Each event with the last rate its user was given before it."""
+    rates = star.user_rates(spark, sf)
+    joined = asof.asof_join(star.user_events(spark, sf), rates, "user", "at", ["rate", "rate_key"], "rate_key")
+    return joined.select("event_id", "user", "rate_key", "rate", (F.col("value") * F.col("rate")).alias("rated"))
+
+
+def asof_next_rates(spark, sf):
+    """Each event with the next rate of its user, if it comes within three days."""
+    soon = lambda at, other: other <= at + F.expr("INTERVAL 3 DAYS")
+    joined = asof.asof_join(
+        star.user_events(spark, sf), star.user_rates(spark, sf), "user", "at", ["rate", "rate_key"], "rate_key",
+        forward=True, within=soon,
+    )
+    return joined.select("event_id", "user", "rate_key", "rate")
+
+
+def interval_overlaps(spark, sf):
+    """Orders' terms, from days to more than a year, against the years in which their customer was active."""
+    met = intervals.interval_join(star.order_terms(spark, sf), star.active_spans(spark, sf), ["entity"])
+    return met.select("l.entity", "l.order_key", "r.year", "overlap")
+
+
+def global_ranks(spark, sf):
+    """All orders ranked by their value in thousands."""
+    ranked = ranks.global_ranks(star.order_sizes(spark, sf), ["thousands"], ["order_key"], descending=True)
+    measured = ranked.select(
+        "order_key", "thousands", "position", "rank", "dense_rank", ranks.ntile(100).alias("tile"),
+        ranks.percent_rank().alias("pct_rank"), ranks.cume_dist().alias("cume"),
+    )
+    return _rounded(measured, "pct_rank", "cume", digits=9)
+
+
+def global_percentiles(spark, sf):
+    values = star.ordered(spark, sf)
+    return _rounded(ranks.global_percentiles(values, "value", [0, 0.01, 0.25, 0.5, 0.75, 0.99, 1]), "percentile")
+
+
 # Ranking and cohorts
 
 
@@ -516,6 +589,8 @@ QUERIES: dict[str, Query] = {
         matched_difference, matched_difference_docs,
         align_inner, align_left, align_two_key, validated_counts,
         continent_exposure, continent_impact, continent_impact_exposed, loss_above_average,
+        range_frame_pairs, range_frame_members, falling_frames, asof_rates, asof_next_rates,
+        interval_overlaps, global_ranks, global_percentiles,
         rank_entities, topk_rows, topk_yearly, topk_vs_benchmark, topk_rows_docs,
     )
 }

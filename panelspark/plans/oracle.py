@@ -102,6 +102,14 @@ falls AS (
 )
 """
 
+RATES = """
+rates AS (
+  SELECT o_custkey AS user, DATE '2024-01-01' + (dayofyear(o_orderdate) % 30)::INT AS at,
+    max(o_orderkey) AS rate_key, arg_max(floor(o_totalprice / 1000)::BIGINT, o_orderkey) AS rate
+  FROM orders GROUP BY 1, 2
+)
+"""
+
 EMISSIONS = """
 emissions AS (
   SELECT l_suppkey AS entity, year(l_shipdate)::INT AS year,
@@ -557,4 +565,71 @@ ORACLE: dict[str, str] = {
         ENTITIES,
         PANEL,
     ),
+    "range_frame_pairs": """
+        SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, o_orderkey AS order_key,
+          o_orderstatus AS type, round(o_totalprice * 100) AS value, count(*) OVER near AS n_frame,
+          sum(round(o_totalprice * 100)) OVER near AS frame_value,
+          min(round(o_totalprice * 100)) OVER near AS smallest,
+          max(round(o_totalprice * 100)) OVER near AS largest,
+          round(avg(round(o_totalprice * 100)) OVER near, 4) AS avg_value,
+          (CASE WHEN count(*) FILTER (o_orderstatus = 'F') OVER near > 0 THEN 'F' ELSE '' END
+            || CASE WHEN count(*) FILTER (o_orderstatus = 'O') OVER near > 0 THEN 'O' ELSE '' END
+            || CASE WHEN count(*) FILTER (o_orderstatus = 'P') OVER near > 0 THEN 'P' ELSE '' END) AS types
+        FROM orders WINDOW near AS (PARTITION BY o_custkey ORDER BY year(o_orderdate)
+          RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)""",
+    "range_frame_members": """
+        WITH dated AS (
+          SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, o_orderkey AS order_key FROM orders
+        )
+        SELECT a.entity, a.year, string_agg(b.year || ':' || b.order_key, ' ' ORDER BY b.year, b.order_key) AS members
+        FROM (SELECT DISTINCT entity, year FROM dated) a
+        JOIN dated b ON a.entity = b.entity AND b.year BETWEEN a.year - 1 AND a.year
+        GROUP BY a.entity, a.year""",
+    "falling_frames": """
+        WITH dated AS (
+          SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, o_orderkey AS order_key,
+            round(o_totalprice * 100) AS value
+          FROM orders
+        )
+        SELECT a.entity, a.year, a.order_key, a.value, min(b.value) AS previous_value
+        FROM dated a JOIN dated b ON a.entity = b.entity AND b.year = a.year - 1
+        GROUP BY a.entity, a.year, a.order_key, a.value HAVING a.value < min(b.value)""",
+    "asof_rates": f"""
+        WITH {RATES}
+        SELECT event_id, user_id AS user, rate_key, rate, round(value * 100) * rate AS rated
+        FROM events ASOF LEFT JOIN rates ON user_id = rates.user AND ts >= rates.at""",
+    "asof_next_rates": f"""
+        WITH {RATES}
+        SELECT event_id, user_id AS user,
+          CASE WHEN rates.at <= ts + INTERVAL 3 DAY THEN rate_key END AS rate_key,
+          CASE WHEN rates.at <= ts + INTERVAL 3 DAY THEN rate END AS rate
+        FROM events ASOF LEFT JOIN rates ON user_id = rates.user AND ts <= rates.at""",
+    "interval_overlaps": """
+        WITH terms AS (
+          SELECT o_custkey AS entity, o_orderkey AS order_key, o_orderdate::DATE AS first_day,
+            o_orderdate::DATE + CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 10
+              WHEN '3-MEDIUM' THEN 30 WHEN '4-NOT SPECIFIED' THEN 90 WHEN '5-LOW' THEN 500 END AS past_day
+          FROM orders
+        ),
+        spans AS (
+          SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, min(o_orderdate)::DATE AS first_day,
+            max(o_orderdate)::DATE + 1 AS past_day
+          FROM orders GROUP BY 1, 2
+        )
+        SELECT t.entity, order_key, year,
+          date_diff('day', greatest(t.first_day, s.first_day), least(t.past_day, s.past_day))::BIGINT AS overlap
+        FROM terms t JOIN spans s
+          ON t.entity = s.entity AND t.first_day < s.past_day AND s.first_day < t.past_day""",
+    "global_ranks": """
+        WITH sized AS (SELECT o_orderkey AS order_key, floor(o_totalprice / 1000)::BIGINT AS thousands FROM orders)
+        SELECT order_key, thousands, row_number() OVER by_row AS position, rank() OVER by_value AS rank,
+          dense_rank() OVER by_value AS dense_rank, (ntile(100) OVER by_row)::INT AS tile,
+          round(percent_rank() OVER by_value, 9) AS pct_rank, round(cume_dist() OVER by_value, 9) AS cume
+        FROM sized
+        WINDOW by_row AS (ORDER BY thousands DESC, order_key), by_value AS (ORDER BY thousands DESC)""",
+    "global_percentiles": """
+        SELECT unnest([0, 0.01, 0.25, 0.5, 0.75, 0.99, 1])::DOUBLE AS fraction,
+          unnest(list_transform(quantile_cont(round(o_totalprice * 100), [0, 0.01, 0.25, 0.5, 0.75, 0.99, 1]),
+            lambda x: round(x, 4))) AS percentile
+        FROM orders""",
 }

@@ -341,3 +341,70 @@ def exposure(spark: SparkSession, directory: str) -> DataFrame:
     return supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("entity"), cents("s_acctbal").alias("exposed")
     )
+
+
+# The days an order is open, by its priority.
+OPEN_DAYS = {"1-URGENT": 3, "2-HIGH": 10, "3-MEDIUM": 30, "4-NOT SPECIFIED": 90, "5-LOW": 500}
+
+
+def dated_orders(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per order: (entity, year, order_key, type, value), several per customer and year."""
+    return load(spark, directory, "orders").select(
+        F.col("o_custkey").alias("entity"),
+        F.year("o_orderdate").cast("int").alias("year"),
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_orderstatus").alias("type"),
+        cents("o_totalprice").alias("value"),
+    )
+
+
+def user_events(spark: SparkSession, directory: str) -> DataFrame:
+    """Dated measurements per user: event value in cents."""
+    return load(spark, directory, "events").select(
+        "event_id", F.col("user_id").alias("user"), F.col("ts").alias("at"), cents("value").alias("value")
+    )
+
+
+def user_rates(spark: SparkSession, directory: str) -> DataFrame:
+    """Rates per user: a customer's orders, moved into the month of the events by their day of the year."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.dayofyear("o_orderdate") % 30)
+    return load(spark, directory, "orders").select(
+        F.col("o_custkey").alias("user"),
+        day.cast("timestamp_ntz").alias("at"),
+        F.col("o_orderkey").alias("rate_key"),
+        F.floor(F.col("o_totalprice") / 1000).alias("rate"),
+    )
+
+
+def _day_number(column: str) -> Column:
+    return F.unix_date(F.col(column).cast("date")).cast("long")
+
+
+def order_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """The days on which an order is open, as a half-open interval of day numbers."""
+    days = F.coalesce(
+        *[F.when(F.col("o_orderpriority") == name, F.lit(n)) for name, n in OPEN_DAYS.items()]
+    )
+    return load(spark, directory, "orders").select(
+        F.col("o_custkey").alias("entity"),
+        F.col("o_orderkey").alias("order_key"),
+        _day_number("o_orderdate").alias("start"),
+        (_day_number("o_orderdate") + days).alias("end"),
+    )
+
+
+def active_spans(spark: SparkSession, directory: str) -> DataFrame:
+    """From a customer's first to its last order of a year, as a half-open interval of day numbers."""
+    day = _day_number("o_orderdate")
+    return (
+        load(spark, directory, "orders")
+        .groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").cast("int").alias("year"))
+        .agg(F.min(day).alias("start"), (F.max(day) + 1).alias("end"))
+    )
+
+
+def order_sizes(spark: SparkSession, directory: str) -> DataFrame:
+    """Order value in thousands, of which many orders share one."""
+    return load(spark, directory, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.floor(F.col("o_totalprice") / 1000).alias("thousands")
+    )

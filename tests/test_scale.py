@@ -81,6 +81,8 @@ SHUFFLED = [
     "align_two_key", "validated_counts", "continent_impact_exposed", "loss_above_average",
     "topk_rows", "topk_vs_benchmark", "docs_roundtrip", "adjacent_pairs", "emission_shares",
     "full_coverage_docs", "scaled_bars", "rank_entities",
+    "range_frame_pairs", "range_frame_members", "falling_frames", "asof_rates", "asof_next_rates",
+    "interval_overlaps", "global_ranks", "global_percentiles",
 ]
 
 
