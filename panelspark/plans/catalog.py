@@ -19,16 +19,22 @@ from panelspark.operators import (
     documents,
     entities,
     frames,
+    hierarchy,
     impact,
     intervals,
     ranks,
+    refresh,
+    rollups,
     season,
+    sketches,
     slices,
+    topn,
     trade,
     windows,
 )
 from panelspark.sources import star
-from panelspark.sources.tables import materialise, save_derived
+from panelspark.sources.tables import materialise, save_derived, scratch_folder
+from panelspark.streaming.windows import append_closed, stream, window_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -521,6 +527,114 @@ def global_percentiles(spark, sf):
     return _rounded(ranks.global_percentiles(values, "value", [0, 0.01, 0.25, 0.5, 0.75, 0.99, 1]), "percentile")
 
 
+# Levels, hierarchies, first rows, sketches, versions, streams
+
+
+def order_cube(spark, sf):
+    """Orders at all levels of continent, segment and status; a pending order's status is NULL."""
+    dims = ["continent", "segment", "status"]
+    measures = {
+        "customers": ("count", "n"), "n_orders": ("sum", "n"), "value": ("sum", "value"),
+        "largest": ("max", "largest"), "avg_value": ("avg", "value"),
+    }
+    cube = rollups.grouped_levels(star.order_levels(spark, sf), dims, measures, rollups.cube_sets(dims))
+    return _rounded(cube, "avg_value")
+
+
+def order_rollup(spark, sf):
+    dims = ["continent", "segment", "status"]
+    measures = {"n_orders": ("sum", "n"), "value": ("sum", "value")}
+    return rollups.grouped_levels(star.order_levels(spark, sf), dims, measures, rollups.rollup_sets(dims))
+
+
+def territory_closure(spark, sf):
+    return hierarchy.closure(star.territory_edges(spark, sf))
+
+
+def territory_totals(spark, sf):
+    """The value of all orders below each region, nation and customer."""
+    pairs = hierarchy.closure(star.territory_edges(spark, sf))
+    facts = star.customer_years(spark, sf).select(F.concat(F.lit("C"), "entity").alias("node"), "gdp")
+    return hierarchy.subtree_totals(pairs, facts, "node", "gdp")
+
+
+def top_orders(spark, sf):
+    """The three largest orders of each customer."""
+    return topn.top_rows(star.dated_orders(spark, sf), "entity", ["value", "order_key"], 3)
+
+
+def first_order_lists(spark, sf):
+    """The keys of each customer's five earliest orders by year, in one list."""
+    lists = topn.top_lists(
+        star.dated_orders(spark, sf).select("entity", "year", "order_key"), "entity", ["year", "order_key"], 5,
+        descending=False,
+    )
+    return lists.select("entity", F.array_join(F.transform("rows", lambda r: r["order_key"].cast("string")), " ").alias("orders"))
+
+
+def sketched_nations(spark, sf):
+    """Per nation, from stored yearly sketches: do estimates lie within the sketches' error of the exact figures?"""
+    rows = star.nation_orders(spark, sf)
+    states = materialise(sketches.sketch_states(rows, ["nation", "year"], "customer", "value"))
+    merged = sketches.merge_states(states, ["nation"])
+    exact = (
+        rows.groupBy("nation", "customer").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("nation").agg(F.count(F.lit(1)).alias("customers"), F.sum("n").alias("n_orders"))
+    )
+    estimates = merged.select(
+        "nation", "n_rows", sketches.n_distinct().alias("estimate"), sketches.quantile(0.5).alias("middle")
+    )
+    below = (
+        rows.join(estimates.select("nation", "middle"), "nation")
+        .groupBy("nation")
+        .agg(F.avg((F.col("value") <= F.col("middle")).cast("int")).alias("share"))
+    )
+    return estimates.join(exact, "nation").join(below, "nation").select(
+        "nation", "customers", "n_orders",
+        (F.col("n_rows") == F.col("n_orders")).cast("int").alias("rows_equal"),
+        (F.abs(F.col("estimate") - F.col("customers")) <= F.col("customers") * 0.03).cast("int").alias("distinct_near"),
+        (F.abs(F.col("share") - 0.5) <= 0.02).cast("int").alias("median_near"),
+    )
+
+
+def _versions(spark, sf):
+    """Two versions of the customers' years: without the orders marked ``P`` since 2000, and with all."""
+    orders = star.dated_orders(spark, sf)
+    early = orders.filter((F.col("year") < 2000) | (F.col("type") != "P"))
+    years = lambda o: o.groupBy("entity", "year").agg(F.sum("value").alias("value"))
+    return years(early), years(orders)
+
+
+def version_changes(spark, sf):
+    """The rows that one version holds and the other doesn't."""
+    return refresh.changed_rows(*_versions(spark, sf))
+
+
+def version_keys(spark, sf):
+    """The customers' years that were inserted or updated between the versions."""
+    changed = refresh.changed_keys(*_versions(spark, sf), ["entity", "year"])
+    return changed.withColumn("columns", F.array_join("columns", ","))
+
+
+def refreshed_years(spark, sf):
+    """The first version stored by year and refreshed to the second: only changed years are written."""
+    old, new = _versions(spark, sf)
+    path = scratch_folder(spark, "refreshed")
+    old.write.partitionBy("year").parquet(path)
+    refresh.refresh_partitions(spark, path, new, "year")
+    return spark.read.schema(new.schema).parquet(path).select(*new.columns)
+
+
+def streamed_days(spark, sf):
+    """Closed days of the stream of events, by type; an hour's delay."""
+    folder = scratch_folder(spark, "stream")
+    events = stream(spark, sf, "events").withColumn("cents", F.rint(F.col("value") * 100))
+    measures = {"n": F.count(F.lit(1)), "value": F.sum("cents")}
+    totals = window_totals(events, "ts", ["event_type"], "1 day", "1 hour", measures)
+    closed = append_closed(totals, f"{folder}/table", f"{folder}/checkpoint")
+    return closed.select(F.date_format("opens", "yyyy-MM-dd").alias("day"), "event_type", "n", "value")
+
+
 # Ranking and cohorts
 
 
@@ -591,6 +705,8 @@ QUERIES: dict[str, Query] = {
         continent_exposure, continent_impact, continent_impact_exposed, loss_above_average,
         range_frame_pairs, range_frame_members, falling_frames, asof_rates, asof_next_rates,
         interval_overlaps, global_ranks, global_percentiles,
+        order_cube, order_rollup, territory_closure, territory_totals, top_orders, first_order_lists,
+        sketched_nations, version_changes, version_keys, refreshed_years, streamed_days,
         rank_entities, topk_rows, topk_yearly, topk_vs_benchmark, topk_rows_docs,
     )
 }

@@ -110,6 +110,38 @@ rates AS (
 )
 """
 
+LEVELS = """
+levels AS (
+  SELECT r_name AS continent, c_mktsegment AS segment, nullif(o_orderstatus, 'P') AS status, o_custkey,
+    count(*) AS n, sum(round(o_totalprice * 100)) AS value, max(round(o_totalprice * 100)) AS largest
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey
+  GROUP BY 1, 2, 3, 4
+)
+"""
+
+TERRITORY = """
+edges AS (
+  SELECT 'R' || n_regionkey AS parent, 'N' || n_nationkey AS child FROM nation
+  UNION ALL SELECT 'N' || c_nationkey, 'C' || c_custkey FROM customer
+),
+paths AS (
+  SELECT parent AS ancestor, child AS descendant, 1 AS depth FROM edges
+  UNION ALL SELECT ancestor, child, depth + 1 FROM paths JOIN edges ON descendant = parent
+)
+"""
+
+VERSIONS = """
+fresh AS (
+  SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, sum(round(o_totalprice * 100)) AS value
+  FROM orders GROUP BY 1, 2
+),
+stale AS (
+  SELECT o_custkey AS entity, year(o_orderdate)::INT AS year, sum(round(o_totalprice * 100)) AS value
+  FROM orders WHERE year(o_orderdate) < 2000 OR o_orderstatus <> 'P' GROUP BY 1, 2
+)
+"""
+
 EMISSIONS = """
 emissions AS (
   SELECT l_suppkey AS entity, year(l_shipdate)::INT AS year,
@@ -632,4 +664,67 @@ ORACLE: dict[str, str] = {
           unnest(list_transform(quantile_cont(round(o_totalprice * 100), [0, 0.01, 0.25, 0.5, 0.75, 0.99, 1]),
             lambda x: round(x, 4))) AS percentile
         FROM orders""",
+    "order_cube": f"""
+        WITH {LEVELS}
+        SELECT continent, segment, status, grouping(continent)::INT AS continent_total,
+          grouping(segment)::INT AS segment_total, grouping(status)::INT AS status_total,
+          grouping(continent, segment, status)::INT AS level, count(*) AS customers,
+          sum(n)::BIGINT AS n_orders, sum(value) AS value, max(largest) AS largest,
+          round(avg(value), 4) AS avg_value
+        FROM levels GROUP BY CUBE (continent, segment, status)""",
+    "order_rollup": f"""
+        WITH {LEVELS}
+        SELECT continent, segment, status, grouping(continent)::INT AS continent_total,
+          grouping(segment)::INT AS segment_total, grouping(status)::INT AS status_total,
+          grouping(continent, segment, status)::INT AS level, sum(n)::BIGINT AS n_orders, sum(value) AS value
+        FROM levels GROUP BY ROLLUP (continent, segment, status)""",
+    "territory_closure": f"""
+        WITH RECURSIVE {TERRITORY}
+        SELECT ancestor, descendant, min(depth)::INT AS depth FROM paths GROUP BY 1, 2""",
+    "territory_totals": f"""
+        WITH RECURSIVE {TERRITORY},
+        facts AS (
+          SELECT 'C' || o_custkey AS node, sum(round(o_totalprice * 100)) AS own FROM orders GROUP BY 1
+        ),
+        spread AS (
+          SELECT node, own FROM facts
+          UNION ALL SELECT ancestor, own FROM (SELECT DISTINCT ancestor, descendant FROM paths)
+          JOIN facts ON descendant = node
+        )
+        SELECT node, sum(own) AS total, count(*) AS members FROM spread GROUP BY node""",
+    "top_orders": """
+        SELECT c.entity, t.year, t.order_key, t.type, t.value, t.place::INT AS place
+        FROM (SELECT DISTINCT o_custkey AS entity FROM orders) c, LATERAL (
+          SELECT year(o_orderdate)::INT AS year, o_orderkey AS order_key, o_orderstatus AS type,
+            round(o_totalprice * 100) AS value,
+            row_number() OVER (ORDER BY round(o_totalprice * 100) DESC, o_orderkey DESC) AS place
+          FROM orders WHERE o_custkey = c.entity
+          ORDER BY round(o_totalprice * 100) DESC, o_orderkey DESC LIMIT 3) t""",
+    "first_order_lists": """
+        SELECT o_custkey AS entity, array_to_string(
+          list(o_orderkey ORDER BY year(o_orderdate), o_orderkey)[1:5], ' ') AS orders
+        FROM orders GROUP BY o_custkey""",
+    "sketched_nations": """
+        SELECT n_name AS nation, count(DISTINCT o_custkey) AS customers, count(*) AS n_orders,
+          1 AS rows_equal, 1 AS distinct_near, 1 AS median_near
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        GROUP BY n_name""",
+    "version_changes": f"""
+        WITH {VERSIONS}
+        SELECT *, 1::BIGINT AS change FROM (SELECT * FROM fresh EXCEPT ALL SELECT * FROM stale)
+        UNION ALL SELECT *, -1 FROM (SELECT * FROM stale EXCEPT ALL SELECT * FROM fresh)""",
+    "version_keys": f"""
+        WITH {VERSIONS}
+        SELECT coalesce(f.entity, s.entity) AS entity, coalesce(f.year, s.year) AS year,
+          CASE WHEN s.entity IS NULL THEN 'inserted' WHEN f.entity IS NULL THEN 'deleted'
+            ELSE 'updated' END AS kind,
+          CASE WHEN s.entity IS NOT NULL AND f.entity IS NOT NULL THEN 'value' END AS columns
+        FROM fresh f FULL JOIN stale s ON f.entity = s.entity AND f.year = s.year
+        WHERE f.value IS DISTINCT FROM s.value""",
+    "refreshed_years": f"WITH {VERSIONS} SELECT * FROM fresh",
+    "streamed_days": """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum(round(value * 100)) AS value
+        FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+        GROUP BY 1, 2""",
 }

@@ -408,3 +408,60 @@ def order_sizes(spark: SparkSession, directory: str) -> DataFrame:
     return load(spark, directory, "orders").select(
         F.col("o_orderkey").alias("order_key"), F.floor(F.col("o_totalprice") / 1000).alias("thousands")
     )
+
+
+def order_levels(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders by continent, segment and status: (continent, segment, status, n, value), status NULL if pending.
+
+    Summed by customer and status before the join, so a customer reaches it as a few rows.
+    """
+    by_customer = (
+        load(spark, directory, "orders")
+        .groupBy("o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(cents("o_totalprice")).alias("value"),
+            F.max(cents("o_totalprice")).alias("largest"),
+        )
+    )
+    customer = load(spark, directory, "customer")
+    nation = load(spark, directory, "nation")
+    region = load(spark, directory, "region")
+    return (
+        by_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.col("r_name").alias("continent"), F.col("c_mktsegment").alias("segment"), "status", "n", "value", "largest"
+        )
+    )
+
+
+def territory_edges(spark: SparkSession, directory: str) -> DataFrame:
+    """(parent, child): region over nation over customer over the customer's market."""
+    nation = load(spark, directory, "nation")
+    customer = load(spark, directory, "customer")
+    regions = nation.select(
+        F.concat(F.lit("R"), "n_regionkey").alias("parent"), F.concat(F.lit("N"), "n_nationkey").alias("child")
+    )
+    members = customer.select(
+        F.concat(F.lit("N"), "c_nationkey").alias("parent"), F.concat(F.lit("C"), "c_custkey").alias("child")
+    )
+    return regions.unionByName(members)
+
+
+def nation_orders(spark: SparkSession, directory: str) -> DataFrame:
+    """(nation, year, customer, value): one row per order, with the nation of its customer."""
+    orders = load(spark, directory, "orders")
+    customer = load(spark, directory, "customer")
+    nation = load(spark, directory, "nation")
+    return (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            F.col("n_name").alias("nation"),
+            F.year("o_orderdate").cast("int").alias("year"),
+            F.col("o_custkey").alias("customer"),
+            cents("o_totalprice").alias("value"),
+        )
+    )

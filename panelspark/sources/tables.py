@@ -158,6 +158,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return _written(df, path, None)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the shared one, removed like the tables of :func:`save_derived`."""
+    return os.path.join(_owned(spark, _derived_directory(spark)), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_partition(spark: SparkSession, path: str, column: str, value: object) -> None:
+    """Remove one partition's folder of a stored table."""
+    listed = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = listed.getPartitionPathString(column, None if value is None else str(value))
+    _delete(spark, os.path.join(path, folder))
+
+
 def save_view(df: DataFrame, name: str) -> DataFrame:
     """Register ``df`` as a view: evaluated anew by each query that reads it."""
     df.createOrReplaceTempView(f"`{name}`")
