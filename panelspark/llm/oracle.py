@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from panelspark.llm.quality_rules import RULES, STOP_WORDS
-from panelspark.llm.secret_scans import BASE_RULES
-from panelspark.llm.secret_scans import RULES as SECRET_RULES
-
-_STOP = ", ".join("'" + w + "'" for w in STOP_WORDS)
-_BOUND = {name: (least, most) for name, _, least, most in RULES}
-
-
-def _within(value: str, name: str) -> str:
-    least, most = _BOUND[name]
-    parts = [f"{value} >= {least}"] if least is not None else []
-    parts += [f"{value} <= {most}"] if most is not None else []
-    return " AND ".join(parts)
 
+# The stop words and thresholds of the quality rules, written out.
+_STOP = """
+  'the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'it', 'be', 'for', 'with', 'was', 'as', 'by', 'on', 'are',
+  'this', 'from', 'at', 'an', 'or', 'not', 'der', 'die', 'das', 'und', 'zu', 'den', 'von', 'mit', 'sich', 'des',
+  'auf', 'ist', 'im', 'dem', 'nicht', 'ein', 'eine', 'als', 'für', 'de', 'la', 'le', 'et', 'les', 'en', 'un', 'une',
+  'du', 'que', 'est', 'pour', 'qui', 'dans', 'par', 'sur', 'au', 'pas', 'avec', 'el', 'los', 'las', 'del', 'y',
+  'se', 'por', 'con', 'no', 'su', 'para', 'es', 'al', 'lo', 'como', 'más', 'una'"""
 
 QUALITY = rf"""
 WITH cut AS (
@@ -46,10 +40,8 @@ judged AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counted
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  (NOT base_failed AND {_within("word_chars / n_words", "mean_word")}
-    AND {_within("n_symbols / n_words", "symbols_per_word")}
-    AND {_within("n_stop / n_words", "stop_word_ratio")}
-    AND {_within("n_dup_lines / n_lines", "dup_line_ratio")}) AS kept
+  (NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.15
+    AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5) AS kept
 FROM judged
 """
 
@@ -115,40 +107,82 @@ FROM found
 """
 
 
-def _matches(order: int) -> str:
-    """Lengths of a rule's matches, of their groups, and of the text before each."""
-    kind, pattern, group, least = SECRET_RULES[order]
+# The kinds of spans, in order, with their forms written out: (kind, pattern, group, least characters).
+_SECRET_KINDS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 32),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", r"xox[abeprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
+)
+_BASE_KINDS = "'assign', 'access', 'hex'"
+
+
+def _marked(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of a kind: each match is put between two marks, and the text is cut at the first of them."""
     quoted = pattern.replace("'", "''")
-    return (
-        f"SELECT id, {order} AS kind_order, '{kind}' AS kind, {least} AS least, "
-        f"list_transform(regexp_extract_all(text, '{quoted}'), lambda x: length(x)) AS whole, "
-        f"list_transform(regexp_extract_all(text, '{quoted}', {group}), lambda x: length(x)) AS part, "
-        f"list_transform(regexp_split_to_array(text, '{quoted}'), lambda x: length(x)) AS before FROM texts"
+    return rf"""
+  SELECT id, '{kind}' AS kind, "start", "start" + length(match) AS "end" FROM (
+    SELECT id, k, split_part(part, chr(57345), 1) AS match, (sum(length(replace(part, chr(57345), '')))
+      OVER (PARTITION BY id ORDER BY k) - length(replace(part, chr(57345), '')))::BIGINT AS "start"
+    FROM (
+      SELECT id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k
+      FROM (SELECT id, string_split(regexp_replace(text, '{quoted}', chr(57344) || '\0' || chr(57345), 'g'),
+        chr(57344)) AS parts FROM texts WHERE regexp_matches(text, '{quoted}'))
     )
+  ) WHERE k > 1 AND length(regexp_extract(match, '{quoted}', {group})) >= {least}"""
 
 
-def _spelled(spans: str) -> str:
-    return f"string_agg({spans}, ',' ORDER BY \"start\", kind_order)"
-
+# A private key: the lines that begin and end keys are found first, and each is paired with the next.
+_KEY_LINE = "-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+_KEY_REST = (
+    r"(?:[\x20\t\r\n]*[A-Z][A-Za-z]*-[A-Za-z]+:[^\r\n]*)*"
+    r"(?:[A-Za-z0-9+/=\x20\t\r\n\x22\x27\x5c]*[A-Za-z0-9+/=]{16})?[A-Za-z0-9+/=]*"
+    r"(?:[\x20\t]*[\r\n]+(?:[\x20\t]*[A-Za-z0-9+/]+={0,2}[\x20\t]*(?:\r?\n|\z))+)?"
+)
+_PRIVATE_KEYS = rf"""
+  SELECT id, 'private_key' AS kind, begins AS "start", CASE WHEN following LIKE '-----END%' THEN next_end
+    ELSE past + length(regexp_extract(CASE WHEN contains(rest, '-----')
+      THEN split_part(rest, '-----', 1) || chr(13) || '#' ELSE rest END, '^{_KEY_REST.replace("'", "''")}')) END AS "end"
+  FROM (
+    SELECT id, line, begins, past, substr(text, past + 1) AS rest,
+      lead(line) OVER after AS following, lead(past) OVER after AS next_end
+    FROM (
+      SELECT id, text, line, past - length(line) AS begins, past, k
+      FROM (
+        SELECT id, text, line, k, sum(length(gap) + length(line)) OVER (PARTITION BY id ORDER BY k)::BIGINT AS past
+        FROM (
+          SELECT id, text, unnest(lines) AS line, unnest(gaps[1 : len(lines)]) AS gap,
+            unnest(range(1, len(lines) + 1)) AS k
+          FROM (
+            SELECT id, text, regexp_extract_all(text, '{_KEY_LINE}') AS lines,
+              regexp_split_to_array(text, '{_KEY_LINE}') AS gaps
+            FROM texts WHERE regexp_matches(text, '{_KEY_LINE}')
+          )
+        )
+      )
+    )
+    WINDOW after AS (PARTITION BY id ORDER BY k)
+  ) WHERE line LIKE '-----BEGIN%'"""
 
 SECRETS = f"""
 WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
-matched AS ({" UNION ALL ".join(_matches(k) for k in range(len(SECRET_RULES)))}),
-placed AS (
-  SELECT id, kind_order, kind, list_sum(before[1 : k]) + coalesce(list_sum(whole[1 : k - 1]), 0) AS "start",
-    whole[k] AS size
-  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS k FROM matched) WHERE part[k] >= least
-),
-spans AS (
-  SELECT *, concat_ws(':', kind, "start"::BIGINT, ("start" + size)::BIGINT) AS span FROM placed
+spans AS ({" UNION ALL ".join(_marked(*k) for k in _SECRET_KINDS)} UNION ALL {_PRIVATE_KEYS}),
+ordered AS (
+  SELECT *, concat_ws(':', kind, "start", "end") AS span, list_position(
+    ['assign', 'access', 'hex', 'private_key', 'github', 'slack', 'jwt'], kind) AS place
+  FROM spans
 ),
 found AS (
-  SELECT id, {", ".join(f"count(*) FILTER (kind = '{r[0]}') AS n_{r[0]}" for r in BASE_RULES)},
-    {_spelled("span")} FILTER (kind_order < {len(BASE_RULES)}) AS base, {_spelled("span")} AS spans
-  FROM spans GROUP BY id
+  SELECT id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(span, ',' ORDER BY "start", place) FILTER (kind IN ({_BASE_KINDS})) AS base,
+    string_agg(span, ',' ORDER BY "start", place) AS spans
+  FROM ordered GROUP BY id
 )
-SELECT doc_id, {", ".join(f"coalesce(n_{r[0]}, 0)::BIGINT AS n_{r[0]}" for r in BASE_RULES)},
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN found USING (id)
 """
 

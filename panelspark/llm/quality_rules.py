@@ -5,7 +5,8 @@ table into one struct column, so a text is read once and no user function runs.
 over the whole text and ratios of them; the three-word windows and the lines are compared exactly.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]+``.  A null text has no words.  The ratios of an empty text are
-0.  Repeated rows are judged alike; extra columns are kept as they are.
+0.  Repeated rows are judged alike; extra columns are kept as they are, except that a column named
+``quality`` is replaced.
 """
 
 from __future__ import annotations

@@ -22,9 +22,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from panelspark.llm.common import Steps, free_names
+from panelspark.llm.common import Steps, exists, free_names
 
 # The kinds every scan must find, in this order.
 BASE_RULES = (
@@ -38,19 +37,21 @@ BASE_RULES = (
     ("hex", "[0-9a-f]{32,}", 0, 32),
 )
 # A private key runs from its BEGIN line to its END line, with no other such line between them.  Without an
-# END it runs over header fields and base64 text to the last base64 line; the last lines may be short.  Only
-# classes of characters repeat without a bound, so no engine recurses over a long body.
-_KEY_END = "[^-]*(?:-[^-]+){0,200}-{5,6}END [A-Z ]{0,40}PRIVATE KEY-----"
-_KEY_FIELDS = "(?:[\\x20\\t\\r\\n]*[A-Z][A-Za-z]{1,20}-[A-Za-z]{1,20}:[^\\r\\n]*){0,4}"
+# END it runs over header fields and base64 text to the last base64 line; the last lines may be short.  No
+# repetition is bounded.  Those of groups are possessive, which the engine runs as loops, so it neither
+# recurses over a long body nor tries a part of it twice.
+_KEY_LINE = "(?:BEGIN|END) [A-Z\\x20]*PRIVATE KEY-----"
+_KEY_END = f"(?:[^-]++|-(?!----{_KEY_LINE}))*+-----END [A-Z\\x20]*PRIVATE KEY-----"
+_KEY_FIELDS = "(?:[\\x20\\t\\r\\n]*+[A-Z][A-Za-z]*+-[A-Za-z]++:(?:[^\\r\\n-]++|-(?!----))*+)*+"
 _KEY_TEXT = "(?:[A-Za-z0-9+/=\\x20\\t\\r\\n\\x22\\x27\\x5c]*[A-Za-z0-9+/=]{16})?[A-Za-z0-9+/=]*"
 _KEY_LINES = (
-    "(?:[\\x20\\t]*[\\r\\n]{1,4}(?:[\\x20\\t]*[A-Za-z0-9+/]+={0,2}[\\x20\\t]*(?:\\r?\\n|\\z)){1,200})?"
+    "(?:[\\x20\\t]*[\\r\\n]++(?:[\\x20\\t]*+[A-Za-z0-9+/]++={0,2}+[\\x20\\t]*+(?:\\r?\\n|\\z))++)?"
 )
 # Forms of published key and token formats.
 MORE_RULES = (
     (
         "private_key",
-        f"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_KEY_END}|{_KEY_FIELDS}{_KEY_TEXT}{_KEY_LINES})",
+        f"-----BEGIN [A-Z\\x20]*PRIVATE KEY-----(?:{_KEY_END}|{_KEY_FIELDS}{_KEY_TEXT}{_KEY_LINES})",
         0,
         1,
     ),
@@ -112,10 +113,10 @@ def find(texts: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _ledger(steps: Steps, folder: str, table: str, schema: str) -> DataFrame:
-    try:
+    """A table of the ledger; one that isn't there is empty, one that can't be read is an error."""
+    if exists(steps.spark, f"{folder}/{table}"):
         return steps.spark.read.schema(schema).parquet(f"{folder}/{table}")
-    except AnalysisException:  # nothing has been scanned yet
-        return steps.spark.createDataFrame([], schema)
+    return steps.spark.createDataFrame([], schema)
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:

@@ -115,6 +115,12 @@ PEMS = [
     (309, f"{BEGIN}\n" + "Zq/9+KZq/9+KZq/9\n" * 60_000 + f"{END}.", "[SECRET]."),
     (310, f"{BEGIN}\n" + "Zq/9+KZq/9+KZq/9\n" * 60_000 + "The end.", "[SECRET]\nThe end."),
     (311, f"{BEGIN}\n" + "Zq/9+K\n" * 150 + "The end.", "[SECRET]The end."),
+    (313, f"{BEGIN}\n" + "Zq/9+K\n" * 10_000 + "The end.", "[SECRET]The end."),
+    (314, f"{BEGIN}\n" + "Zq/9+KZq/9+KZq/9\n" * 10_000 + f"{END}\n.", "[SECRET]\n."),
+    (315, f"{BEGIN}\n" + "a-" * 40_000 + f"\n{BODY}\n{END} then", "[SECRET] then"),
+    (316, f"{BEGIN}\n" + "Some-Field: of a-b\n" * 400 + f"\n{BODY}\nThe end.", "[SECRET]The end."),
+    (317, f"{BEGIN}\n" * 3_000 + "the end", "[SECRET]\n" * 3_000 + "the end"),
+    (318, f"{BEGIN} " + "-" * 100_000 + END, "[SECRET]"),
     (312, f"-{BEGIN}\n-" + BODY.replace("\n", "\n-") + f"\n-{END}\n+none", "-[SECRET]\n+none"),
 ]
 
@@ -128,6 +134,26 @@ def test_private_keys_go_whole(spark):
     assert [(s.kind, s.start, s.end) for s in found] == [("private_key", 7, text.index(END) + len(END))]
 
 
+def test_an_unreadable_ledger_is_no_empty_one(spark, tmp_path):
+    ledger = tmp_path / "ledger"
+    scanned(spark, ROWS, ledger=str(ledger))
+    for file in (ledger / "scanned").glob("*.parquet"):
+        file.write_bytes(b"broken")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        scanned(spark, ROWS, ledger=str(ledger))
+
+
+def test_second_scan_of_the_table_reads_no_text_again(spark, sf_dir, tmp_path):
+    docs, ledger = read(spark, sf_dir, "documents"), str(tmp_path / "ledger")
+    first = Counter(map(repr, secret_scans.scan(docs, ledger).collect()))
+    blobs = spark.read.parquet(f"{ledger}/scanned").count()
+    findings = spark.read.parquet(f"{ledger}/findings").count()
+    assert Counter(map(repr, secret_scans.scan(docs, ledger).collect())) == first
+    assert Counter(map(repr, secret_scans.scan(docs).collect())) == first
+    assert spark.read.parquet(f"{ledger}/scanned").count() == blobs
+    assert spark.read.parquet(f"{ledger}/findings").count() == findings
+
+
 def test_no_python_runs(spark):
     found = secret_scans.redact(documents(spark, ROWS))
     plan = found._jdf.queryExecution().executedPlan().toString()
