@@ -116,23 +116,35 @@ def slot(key: Column) -> Column:
     return F.pmod(key, F.lit(SLOTS)).cast("int")
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the given (doc_id, text_key) pairs.
+def _keyed(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows that can't be among the (doc_id, text_key) pairs, and the others.
 
-    A broadcast of at most SLOTS integers tells the rows that can't be among them, which then stay
-    where they are; only the others are joined.
+    A broadcast of at most SLOTS integers tells them apart, so that only the others are joined.  These
+    have columns for the join.
     """
-    at, key, gone, gone_key = free_names(docs, "slot", "key", "gone", "gone_key")
+    at, key = free_names(docs, "slot", "key")
     slots = F.broadcast(keys.select(slot(F.col("text_key")).alias(at)).distinct())
     keyed = docs.withColumn(key, text_key(F.col("text"))).withColumn(at, slot(F.col(key)))
-    rest = keyed.join(slots, at, "left_anti")
-    tested = keyed.join(slots, at, "left_semi").join(
-        keys.select(F.col("doc_id").alias(gone), F.col("text_key").alias(gone_key)),
-        F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(key) == F.col(gone_key)),
-        "left_anti",
-    )
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return rest.select(*columns).unionByName(tested.select(*columns))
+    return keyed.join(slots, at, "left_anti").select(*columns), keyed.join(slots, at, "left_semi")
+
+
+def _met(tested: DataFrame, docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    _, key, gone, gone_key = free_names(docs, "slot", "key", "gone", "gone_key")
+    pairs = keys.select(F.col("doc_id").alias(gone), F.col("text_key").alias(gone_key))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (F.col(key) == F.col(gone_key))
+    return tested.join(pairs, same, how).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows of the given (doc_id, text_key) pairs."""
+    rest, tested = _keyed(docs, keys)
+    return rest.unionByName(_met(tested, docs, keys, "left_anti"))
+
+
+def among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are among the given (doc_id, text_key) pairs."""
+    return _met(_keyed(docs, keys)[1], docs, keys, "left_semi")
 
 
 def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

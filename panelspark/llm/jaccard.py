@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Steps, byte_slices, free_names, slot, text_buffers, text_key, without
-from panelspark.llm.wordhash import STEP, Words, mix
+from panelspark.llm.common import Steps, among, byte_slices, free_names, slot, text_buffers, text_key, without
+from panelspark.llm.wordhash import STEP, mix, word_pieces
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.998
 MAX_HASHES = 160
 BLOCK = 2048  # members of a gathering verified against each other in one task
+SLICE = 128  # members whose pairs with all others are judged at a time
 SALTS = 16  # parts that the rows of a class are split into when they meet its name
 BLOCK_BYTES = 1 << 24  # bytes of text of a block, about; a longer text is a block of its own
 BIN_ROWS = 3000  # members of small gatherings that share a task's group
@@ -63,17 +64,7 @@ def _multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(2024).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def gram_sets(raw: np.ndarray, starts: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a run of texts, with the text of each; a text of fewer words is one shingle."""
-    words = Words(raw, starts)
-    grams, at = words.grams(ngram)
-    owner = words.text[at]
-    for size in range(1, ngram):
-        if (words.count == size).any():
-            few, first = words.grams(size)
-            mine = words.count[words.text[first]] == size
-            grams = np.concatenate([grams, few[mine]])
-            owner = np.concatenate([owner, words.text[first[mine]]])
+def _distinct(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     new = np.ones(len(grams), bool)
@@ -81,6 +72,32 @@ def gram_sets(raw: np.ndarray, starts: np.ndarray, ngram: int) -> tuple[np.ndarr
     return grams[new], owner[new]
 
 
+def gram_sets(raw: np.ndarray, starts: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a run of texts, with the text of each; a text of fewer words is one shingle.
+
+    The words of a long text are held a piece at a time; what grows with it is its set.
+    """
+    parts, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    before, cut = -1, False
+    for i, _, words, offset, own, end in word_pieces(raw, starts, after=ngram - 1):
+        grams, at = words.grams(ngram)
+        mine = (at >= own) & (at < end)
+        found = [(grams[mine], words.text[at[mine]])]
+        if offset + own == 0 and end > own:  # the piece with the first word shows whether there are enough
+            for size in range(1, ngram):
+                if (words.count == size).any():
+                    short, first = words.grams(size)
+                    fits = words.count[words.text[first]] == size
+                    found.append((short[fits], words.text[first[fits]]))
+        grams, owner = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        parts.append(grams)
+        owners.append(owner + i)
+        cut |= i == before
+        before = i
+    grams, owner = np.concatenate(parts), np.concatenate(owners)
+    return _distinct(grams, owner) if cut else (grams, owner)
+
+
 def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     """One row per document: row_id, doc_id, a key of its text, two keys of its set, band hashes."""
     schema = (
@@ -140,63 +157,85 @@ def signatures(docs: DataFrame, ngram: int, bands: int, rows: int) -> DataFrame:
     return numbered.mapInArrow(sign, schema)
 
 
+def connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the rows that the pairs connect one label, the smallest row of theirs."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        high = np.maximum(label[a], label[b])
+        differ = low < high
+        a, b, low, high = a[differ], b[differ], low[differ], high[differ]
+        np.minimum.at(label, high, low)
+        while True:
+            following = label[label]
+            if (following == label).all():
+                break
+            label[:] = following
+
+
+def _shared(grams: np.ndarray, owner: np.ndarray, m: int) -> np.ndarray:
+    """The number of shingles that each two of ``m`` texts have in common."""
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    first = np.ones(len(grams), bool)
+    first[1:] = grams[1:] != grams[:-1]
+    column = np.cumsum(first) - 1
+    common = np.bincount(column, minlength=1)[column] > 1 if len(grams) else first
+    owner, column = owner[common], column[common]
+    shared = np.zeros((m, m), np.float32)
+    step = max(1, (1 << 23) // max(m, 1))  # shingles whose holders are in one matrix
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(column, column[at] + step))
+        _, place = np.unique(column[at:end], return_inverse=True)
+        dense = np.zeros((m, int(place.max()) + 1), np.float32)
+        dense[owner[at:end], place] = 1
+        for k in range(0, m, SLICE):
+            shared[k : k + SLICE] += dense[k : k + SLICE] @ dense.T
+        at = end
+    return shared
+
+
 def _verify(pdf: pd.DataFrame, ngram: int, threshold: float) -> pd.DataFrame:
-    """Links of the gatherings of one group: per member a count, per new connection an edge."""
+    """Links of the gatherings of one group: per member a count, per new connection an edge.
+
+    Beside the texts and their sets, a gathering of m members holds one matrix of m x m numbers; all
+    that is derived from it is held for SLICE members at a time.
+    """
     node, count, root = [], [], []
     for _, own in pdf.groupby(["band", "hash", "block_a", "block_b"], sort=False):
         own = own.drop_duplicates("node")
-        nodes, weight = own["node"].to_numpy(), own["copies"].to_numpy(np.int64)
-        bands = np.stack(own["bands"].to_numpy())
+        nodes, weight = own["node"].to_numpy(np.int64), own["copies"].to_numpy(np.int64)
         band, across = int(own["band"].iloc[0]), own["block_a"].iloc[0] != own["block_b"].iloc[0]
+        bands = np.ascontiguousarray(np.stack(own["bands"].to_numpy())[:, :band].T)
         side = own["block"].to_numpy() == own["block_a"].iloc[0]
         raw, starts = text_buffers(pa.array(own["text"], pa.string()))
         grams, owner = gram_sets(raw, starts, ngram)
-        size = np.bincount(owner, minlength=len(own)).astype(np.float32)
-        _, column, seen = np.unique(grams, return_inverse=True, return_counts=True)
-        common = seen[column] > 1
-        width = np.cumsum(seen > 1) - 1
         m = len(own)
-        shared = np.zeros((m, m), np.float32)
-        rows, columns = owner[common], width[column[common]]
-        step = max(1, (1 << 25) // max(m, 1))  # columns of the matrix held at a time
-        for at in range(0, int((seen > 1).sum()), step):
-            part = (columns >= at) & (columns < at + step)
-            dense = np.zeros((m, min(step, int((seen > 1).sum()) - at)), np.float32)
-            dense[rows[part], columns[part] - at] = 1
-            shared += dense @ dense.T
-        # wide enough for the rounding of single precision; then exact in integers
-        linked = shared >= np.float32(threshold) * (size[:, None] + size[None, :] - shared) - 0.5
-        a, b = np.nonzero(np.triu(linked, 1))
-        s = shared[a, b].astype(np.int64)
-        union = size[a].astype(np.int64) + size[b].astype(np.int64) - s
-        keep = s * 1_000_000 >= round(threshold * 1_000_000) * union
-        if band:
-            keep &= ~(bands[a, :band] == bands[b, :band]).any(axis=1)
-        if across:
-            keep &= side[a] != side[b]
-        a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        links = np.bincount(a, weight[b], minlength=m) + np.bincount(b, weight[a], minlength=m)
-        parent = list(range(m))
-
-        def top(x: int, parent: list[int] = parent) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-        for k in np.flatnonzero(links).tolist():
-            node.append(nodes[k])
-            count.append(int(links[k]))
-            root.append(nodes[top(k)])
-    return pd.DataFrame(
-        {"node": np.array(node, np.int64), "links": np.array(count, np.int64), "root": np.array(root, np.int64)}
-    )
+        size = np.bincount(owner, minlength=m)
+        shared = _shared(grams, owner, m)
+        links, label = np.zeros(m, np.int64), np.arange(m)
+        wide = size.astype(np.float32)
+        for k in range(0, m, SLICE):
+            part = shared[k : k + SLICE]
+            # wide enough for the rounding of single precision; then exact in integers
+            linked = part >= np.float32(threshold) * (wide[k : k + SLICE, None] + wide - part) - 0.5
+            if across:
+                linked &= side[k : k + SLICE, None] != side
+            for earlier in bands:  # a pair counts in the first band it shares
+                linked &= earlier[k : k + SLICE, None] != earlier
+            a, b = np.nonzero(linked)
+            s = part[a, b].astype(np.int64)
+            a += k
+            keep = (a != b) & (s * 1_000_000 >= round(threshold * 1_000_000) * (size[a] + size[b] - s))
+            a, b = a[keep], b[keep]
+            links += np.bincount(a, weight[b], minlength=m).astype(np.int64)
+            connect(label, a, b)
+        found = np.flatnonzero(links)
+        node.append(nodes[found])
+        count.append(links[found])
+        root.append(nodes[label[found]])
+    none = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"node": np.concatenate(node or none), "links": np.concatenate(count or none), "root": np.concatenate(root or none)})
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -393,18 +432,11 @@ def one_per_class(docs: DataFrame, **options) -> DataFrame:
     several = keys.filter("kept = 1 AND rows > 1").select("doc_id", "text_key")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     (row,) = free_names(docs, "row")
-    same = without(left, several)
     once = (
-        left.select(F.struct(*columns).alias(row))
-        .withColumn("id", F.col(f"{row}.doc_id").cast("long"))
-        .withColumn("key", text_key(F.col(f"{row}.text")))
-        .join(
-            several.select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key")),
-            F.col("id").eqNullSafe(F.col("other_id")) & (F.col("key") == F.col("other_key")),
-            "left_semi",
-        )
-        .groupBy("id", "key")
+        among(left, several)
+        .select(F.struct(*columns).alias(row))
+        .groupBy(F.col(f"{row}.doc_id").cast("long").alias("id"), text_key(F.col(f"{row}.text")).alias("key"))
         .agg(F.first(row).alias(row))
         .select(f"{row}.*")
     )
-    return same.unionByName(once)
+    return without(left, several).unionByName(once)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm.common import Steps, slot
-from panelspark.llm.jaccard import components
+from panelspark.llm.jaccard import components, connect
 from panelspark.llm.wordhash import mix
 
 THRESHOLD = 0.95
@@ -131,21 +131,6 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([dim << 32 | number, *(batch.column(c).to_numpy() for c in (*KEYS, "node"))])
 
 
-def connect(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Gives the rows that the pairs connect one label, the smallest row of theirs."""
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        high = np.maximum(label[a], label[b])
-        differ = low < high
-        a, b, low, high = a[differ], b[differ], low[differ], high[differ]
-        np.minimum.at(label, high, low)
-        while True:
-            following = label[label]
-            if (following == label).all():
-                break
-            label[:] = following
-
-
 def _window(ordered: DataFrame, window: int, limit: int) -> DataFrame:
     """Candidate groups (group, node) of each partition's rows in order, and its border rows (group null)."""
 

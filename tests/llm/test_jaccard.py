@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,8 @@ from panelspark.llm import jaccard
 from panelspark.llm.common import Steps, read
 from panelspark.llm.queries import op4_jaccard_join
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def compare(rows, docs_rows):
     """Counts and classes by brute force, classes named by their smallest id."""
@@ -142,3 +145,79 @@ def test_components_of_stars_and_chains(spark):
     edges = spark.createDataFrame(pairs, "node long, root long")
     found = {r.node: r.root for r in jaccard.components(Steps(spark, "stars"), edges).collect()}
     assert found == {x: top(x) for x in parent if top(x) != x}
+
+
+def test_a_group_of_linked_members_stays_in_memory():
+    """4,096 linked members in the last band: the memory beside the input."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, pandas as pd
+from panelspark.llm import jaccard
+m = 4096
+base = [f"w{k}" for k in range(100)]
+rows = []
+draw = np.random.default_rng(1)
+for k in range(m):
+    text = list(base)
+    text[int(draw.integers(100))] = f"y{k}"
+    rows.append(" ".join(text))
+bands = [draw.integers(0, 1 << 60, 21) for _ in range(m)]
+pdf = pd.DataFrame({"node": np.arange(m), "copies": 1, "bands": bands, "text": rows, "band": 20, "hash": 7,
+  "block_a": 0, "block_b": 1, "block": np.arange(m) % 2})
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+out = jaccard._verify(pdf, 5, 0.8)
+assert len(out) == m and (out.links > 1900).all() and (out.root == 0).all()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - start) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(done.stdout) < 300
+
+
+def test_long_texts_are_cut_without_a_difference(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from panelspark.llm import wordhash
+    from panelspark.llm.common import text_buffers
+
+    random.seed(3)
+    texts = [
+        " ".join(random.choice(["a", "bb", "日本", "x" * 90, "--", "Zq9"]) for _ in range(n)) for n in (0, 3, 40, 900, 4000)
+    ] + ["w" * 5000, " " * 3000 + "one two " + " " * 4000, "-" * 3000, "one two three four five " * 400]
+    raw, starts = text_buffers(pa.array(texts))
+    for k in range(len(texts)):
+        whole = wordhash.Words(raw, starts[k : k + 2])
+        grams, at = whole.grams(5)
+        for size in (64, 500, 1 << 22):
+            seen = {}
+            for _, _, words, offset, own, end in wordhash.word_pieces(raw, starts[k : k + 2], 2, 4, size):
+                values, first = words.grams(5)
+                for v, f in zip(values.tolist(), first.tolist(), strict=True):
+                    if own <= f < end:
+                        assert offset + f not in seen
+                        seen[offset + f] = v
+                assert words.hash[own:end].tolist() == whole.hash[offset + own : offset + end].tolist()
+                lead = min(2, offset + own)
+                assert size >= len(texts[k].encode()) or own == lead
+            assert seen == dict(zip(at.tolist(), grams.tolist(), strict=True))
+    sets, owner = jaccard.gram_sets(raw, starts, 5)
+    monkeypatch.setattr(wordhash.word_pieces, "__defaults__", (0, 0, 300))
+    again, owners = jaccard.gram_sets(raw, starts, 5)
+    each = [jaccard.gram_sets(raw, starts[k : k + 2], 5)[0].tolist() for k in range(len(texts))]
+    assert each == [sets[owner == k].tolist() for k in range(len(texts))]
+    assert again.tolist() == sets.tolist() and owners.tolist() == owner.tolist()
+
+
+def test_a_word_longer_than_a_piece_has_its_hash(monkeypatch):
+    import numpy as np
+
+    from panelspark.llm import wordhash
+
+    text = np.frombuffer(("ab " + "x" * 3000 + " " + "y" * 5 + " z" * 900).encode(), np.uint8)
+    plain = wordhash.Words(text, np.array([0, len(text)])).hash
+    monkeypatch.setattr(wordhash, "PIECE", 64)
+    monkeypatch.setattr(wordhash, "_powers", [])
+    assert wordhash.Words(text, np.array([0, len(text)])).hash.tolist() == plain.tolist()
