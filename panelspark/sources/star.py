@@ -6,10 +6,9 @@ Every table is one lazy plan over the whole star tables.  Amounts are carried in
 The tables take a range of years where a query needs only those: the range is put on the stored
 date, not on the derived year, so files and row groups outside it are not read.
 
-Skew: the panel, customer years and supplier facts are aggregated by their key *before* the join with
-the dimension, so a customer with a third of all orders reaches the join as a handful of rows.  Where
-the grouping needs a column of the dimension (trade by part, monthly orders by segment), the raw join
-is left to adaptive skew splitting.
+Skew: facts are aggregated by their key *before* the join with the dimension, so a customer with a
+third of all orders reaches the join as a handful of rows.  That goes for groupings by a column of the
+dimension as well (trade by part, monthly orders by segment), whose sums are summed again after it.
 ``nation`` and ``region`` have a fixed size; whether ``customer``, ``supplier`` or ``part`` is
 broadcast is left to Spark's own size check.
 """
@@ -190,31 +189,30 @@ def trade(
     lineitem = _dated(load(spark, directory, "lineitem"), "l_shipdate", since, until)
     part = load(spark, directory, "part")
     side = F.when(F.col("l_linestatus") == "O", "import").when(F.col("l_linestatus") == "F", "export")
+    by_part = lineitem.groupBy(
+        "l_partkey", F.year("l_shipdate").cast("int").alias("year"), side.alias("side")
+    ).agg(F.sum("l_quantity").alias("value"))
     return (
-        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(
-            F.year("l_shipdate").cast("int").alias("year"),
-            F.col("p_type").alias("product"),
-            F.col("p_brand").alias("sub_product"),
-            side.alias("side"),
-        )
-        .agg(F.sum("l_quantity").alias("value"))
-        .filter(F.col("side").isNotNull())
+        by_part.filter(F.col("side").isNotNull())
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy("year", F.col("p_type").alias("product"), F.col("p_brand").alias("sub_product"), "side")
+        .agg(F.sum("value").alias("value"))
     )
 
 
 def _monthly_orders(spark: SparkSession, directory: str) -> DataFrame:
     orders = load(spark, directory, "orders")
     customer = load(spark, directory, "customer")
+    by_customer = orders.groupBy(
+        "o_custkey",
+        F.col("o_orderstatus").alias("status"),
+        F.year("o_orderdate").cast("int").alias("year"),
+        F.month("o_orderdate").alias("m"),
+    ).agg(F.sum(cents("o_totalprice")).alias("cents"))
     return (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(
-            F.col("c_mktsegment").alias("segment"),
-            F.col("o_orderstatus").alias("status"),
-            F.year("o_orderdate").cast("int").alias("year"),
-            F.month("o_orderdate").alias("m"),
-        )
-        .agg(F.sum(cents("o_totalprice")).alias("cents"))
+        by_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("c_mktsegment").alias("segment"), "status", "year", "m")
+        .agg(F.sum("cents").alias("cents"))
     )
 
 

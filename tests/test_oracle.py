@@ -1,5 +1,9 @@
 """Every registered query against its SQL in a second engine: names, types, rows."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -38,6 +42,23 @@ def test_query_equals_sql(spark, sf_dir, engine, key):
     assert rows(result) == wanted
 
 
+@pytest.mark.parametrize("missing", ["panelspark.llm", "corpus_pipeline", "ahocorasick", "public_tokenizers", "regex"])
+def test_queries_without_the_text_operators(missing):
+    """The panel's queries stay where the subpackage, or a library that only it needs, is absent."""
+    code = f"""
+import sys
+class Absent:
+    def find_spec(self, name, path=None, target=None):
+        if name == {missing!r} or name.startswith({missing!r} + "."):
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Absent())
+import __spark_entry__ as entry
+from panelspark.plans import catalog
+assert set(entry.queries()) == set(entry.oracle_sql()) == set(catalog.QUERIES)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_entry(spark):
     result = entry.entry(spark)
     assert result.columns == ["entity", "period", "gdp_ma"]
