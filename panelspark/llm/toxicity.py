@@ -15,16 +15,19 @@ its logarithm gives the score.
 
 A null or empty text has no matches and gets the score of a clean one.  Repeated rows score alike.
 Without labels of both kinds the lexicon is empty and every score is the share of toxic labels
-(0 without labels).
+(0 without labels).  Texts of any length take time in proportion to it; beside the folded text, SPAN
+characters of it are held with their matches.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,13 +36,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Steps, ship_code
+from panelspark.llm.common import Steps, remainder_is_zero, ship_code
 from panelspark.llm.sample import SAMPLE_ROWS, labelled
 
-PREFIXES = (4, 5, 6, 7, 8)
-LEAST_ODDS = 3.0  # logarithm of the ratio of a term's shares of uses
-LEAST_SHARE = 0.01  # of the toxic texts, in which a term must add a match that is still wanted
-COVER = 4  # matches wanted in every toxic text, so that the lexicon doesn't rest on single terms
+SPAN = 1 << 18  # characters of a folded text that are matched at a time
+NEIGHBOUR = 40  # a longer word beside a term makes no phrase with it
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How terms are chosen; the defaults come from :func:`cross_validate` on training rows."""
+
+    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)  # lengths of beginnings of words
+    least_odds: float = 3.0  # logarithm of the ratio of a term's shares of uses
+    least_share: float = 0.01  # of the toxic texts, in which a term must add a match that is still wanted
+    cover: int = 4  # matches wanted in every toxic text, so that the lexicon doesn't rest on single terms
+    damped: bool = True  # a text's uses of a term count by their logarithm
+
 
 # Letters that look like Latin ones, and digits and signs read as letters.
 LOOKALIKES = {
@@ -58,24 +71,32 @@ _FOLD = (
     | {ord("l"): "i"}
 )
 _UNUSUAL = re.compile("[Ā-￿­]")
-_MIXED = re.compile(r"[^\W_]*(?:[0-9@$][^\W_]|[^\W\d_][0-9@$])[^\W_@$]*(?:[@$0-9]+[^\W_]*)*")
+_RUN = re.compile(r"[\w@$]+")
+_SIGN = re.compile(r"[0-9@$]")
+_BESIDE = re.compile(r"[0-9@$][^\W_]|[^\W\d_][0-9@$]")
 _DIGITS = str.maketrans(DIGITS)
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _read_digits(match: re.Match) -> str:
-    word = match[0]
+def _read_word(word: str) -> str:
+    if not _BESIDE.search(word):
+        return word
     letters = sum(c.isalpha() for c in word)
     return word.translate(_DIGITS) if letters * 2 >= len(word) else word
 
 
+def _read_digits(match: re.Match) -> str:
+    run = match[0]
+    return "_".join(map(_read_word, run.split("_"))) if _SIGN.search(run) else run
+
+
 def fold(text: str) -> str:
     """Lower-cased text with look-alikes and digit substitutions replaced."""
     if _UNUSUAL.search(text):
         text = text.translate(_FULLWIDTH)
     text = text.lower()
     if any(c in text for c in "0134578@$9"):
-        text = _MIXED.sub(_read_digits, text)
+        text = _RUN.sub(_read_digits, text)
     if text.isascii():
         return text.replace("l", "i")
     return text.translate(_FOLD)
@@ -121,32 +142,49 @@ def matches(folded: str, automaton) -> list[tuple[int, int, str, float]]:
             hits.append((start, end, term, beginning))
         elif word is not None and whole:
             hits.append((start, end, term, word))
-    if shielded:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in shielded)]
+    if shielded:  # ordered by their ends: is there one that ends there or later and begins there or earlier?
+        ends = [b for _, b in shielded]
+        begins = list(accumulate(reversed([a for a, _ in shielded]), min))[::-1]
+
+        def free(hit: tuple) -> bool:
+            k = bisect_left(ends, hit[1])
+            return k == len(ends) or begins[k] > hit[0]
+
+        hits = [h for h in hits if free(h)]
     return hits
 
 
-def value(text: str | None, automaton) -> float:
+def value(text: str | None, automaton, span: int = SPAN) -> float:
     """Logarithm of the matched weight per thousand characters."""
     if not text or automaton is None:
         return 0.0
     folded = fold(text)
-    weight = sum(h[3] for h in matches(folded, automaton))
-    return math.log1p(1000 * weight / (len(folded) + 50)) if weight else 0.0
-
-
-def terms(folded: str) -> Counter[tuple[str, bool]]:
+    n = len(folded)
+    if n <= span:
+        weight = math.fsum(h[3] for h in matches(folded, automaton))
+    else:  # a span at a time, with as much around it as the longest term or phrase can take
+        beside = max(map(len, automaton)) + 2
+        weights = []
+        for begin in range(0, n, span):
+            lead = max(0, begin - beside)
+            found = matches(folded[lead : begin + span + beside], automaton)
+            weights += [h[3] for h in found if begin <= h[0] + lead < begin + span]
+        weight = math.fsum(weights)
+    return math.log1p(1000 * weight / (n + 50)) if weight else 0.0
+
+
+def terms(folded: str, prefixes: tuple[int, ...]) -> Counter[tuple[str, bool]]:
     """Uses of the words (True) and beginnings of words (False) of a folded text."""
-    words = Counter(_WORD.findall(folded))
+    words = Counter(m[0] for m in _WORD.finditer(folded))
     found = Counter({(w, True): n for w, n in words.items()})
     for word, n in words.items():
-        for k in PREFIXES:
+        for k in prefixes:
             if len(word) >= k:
                 found[word[:k], False] += n
     return found
 
 
-def _term_counts(sample: DataFrame) -> DataFrame:
+def _term_counts(sample: DataFrame, settings: Settings) -> DataFrame:
     """Per term: toxic texts that hold it, and its damped uses in clean and in toxic texts.
 
     The row whose term is NULL has the sums over all words.
@@ -158,8 +196,8 @@ def _term_counts(sample: DataFrame) -> DataFrame:
             uses: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
                 toxic = label == 1
-                for key, n in terms(fold(text)).items():
-                    damped = math.log1p(n)
+                for key, n in terms(fold(text), settings.prefixes).items():
+                    damped = math.log1p(n) if settings.damped else n
                     uses[toxic][key] += damped
                     texts[key] += toxic
                     if key[1]:
@@ -180,8 +218,22 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return found.groupBy("term", "whole").agg(F.sum("texts").alias("texts"), *sums)
 
 
-def _hits(sample: DataFrame, lexicon: Lexicon, label: int) -> list:
-    """Per text with this label: its terms and the phrases around them, of the bounded sample."""
+def _word_before(folded: str, at: int) -> str | None:
+    part = folded[max(0, at - NEIGHBOUR - 2) : at]
+    word = part.split()[-1] if part.strip() else ""
+    whole = part.lstrip() != part or len(part.split()) > 1 or at <= NEIGHBOUR + 2
+    return word if word and len(word) <= NEIGHBOUR and whole else None
+
+
+def _word_after(folded: str, at: int) -> str | None:
+    part = folded[at : at + NEIGHBOUR + 2].lstrip()
+    word = part.split()[0] if part else ""
+    whole = len(word) < len(part) or at + NEIGHBOUR + 2 >= len(folded)
+    return word if word and len(word) <= NEIGHBOUR and whole else None
+
+
+def _hits(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Per text that holds a term: its label, its terms, and the phrases of a term and its neighbour."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -194,23 +246,23 @@ def _hits(sample: DataFrame, lexicon: Lexicon, label: int) -> list:
                 around = set()
                 for start, end, _, _ in hits:
                     stop = end
-                    while stop < len(folded) and folded[stop].isalnum():
+                    while stop < len(folded) and folded[stop].isalnum() and stop - end <= NEIGHBOUR:
                         stop += 1
-                    before = folded[max(0, start - 40) : start].split()[-1:]
-                    after = folded[stop : stop + 40].split()[:1]
-                    around |= {f"{w} {folded[start:stop]}" for w in before}
-                    around |= {f"{folded[start:stop]} {w}" for w in after}
+                    before, after = _word_before(folded, start), _word_after(folded, stop)
+                    around |= {f"{before} {folded[start:stop]}"} if before else set()
+                    around |= {f"{folded[start:stop]} {after}"} if after else set()
                 phrases.append(sorted(around))
             lists = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, lists), pa.array(phrases, lists)], names=["terms", "phrases"]
+                [batch["label"], pa.array(found, lists), pa.array(phrases, lists)],
+                names=["label", "terms", "phrases"],
             )
 
-    chosen = sample.filter(F.col("label") == label)
-    return chosen.mapInArrow(run, "terms array<string>, phrases array<string>").filter("size(terms) > 0").collect()
+    schema = "label int, terms array<string>, phrases array<string>"
+    return sample.select("label", "text").mapInArrow(run, schema).filter("size(terms) > 0")
 
 
-def _cover(texts: list[set[str]], least: int, cover: int = COVER) -> list[str]:
+def _cover(texts: list[set[str]], least: int, cover: int) -> list[str]:
     """Terms in the order of the texts they add; of nearly equal ones the longest."""
     holders: dict[str, set[int]] = {}
     for i, found in enumerate(texts):
@@ -254,7 +306,9 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(-w[0] / slope)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexicon:
+def learn(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, settings: Settings = Settings()  # noqa: B008
+) -> Lexicon:
     """A lexicon from at most ``rows`` labelled texts that are not held out."""
     spark = docs.sparkSession
     steps = Steps(spark, "toxicity")
@@ -263,14 +317,14 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
         return Lexicon(base=1.0 if toxic else 0.0)
-    least = max(3, math.ceil(LEAST_SHARE * toxic))
-    counts = steps.store(_term_counts(sample), "terms")
+    least = max(3, math.ceil(settings.least_share * toxic))
+    counts = steps.store(_term_counts(sample, settings), "terms")
     total = counts.filter("term IS NULL").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
     odds = F.log((F.col("toxic") + 0.5) / ((total["toxic"] or 0) + 1)) - F.log(
         (F.col("clean") + 0.5) / ((total["clean"] or 0) + 1)
     )
     rows_of = (
-        counts.filter((F.col("texts") >= least) & (odds > LEAST_ODDS) & F.col("term").isNotNull())
+        counts.filter((F.col("texts") >= least) & (odds > settings.least_odds) & F.col("term").isNotNull())
         .select("term", "whole", odds.alias("odds"))
         .collect()  # bounded by the sample
     )
@@ -280,31 +334,36 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Lexico
     )
     if wide.automaton() is None:
         return Lexicon(base=toxic / (clean + toxic))
-    bad = _hits(sample, wide, 1)
-    chosen = _cover([_both(set(r["terms"]), wide) for r in bad], least)
+    bad = _hits(sample.filter("label = 1"), wide).select("terms").collect()  # at most ``rows`` sets of candidates
+    chosen = _cover([_both(set(r["terms"]), wide, settings.prefixes) for r in bad], least, settings.cover)
     lexicon = Lexicon(
         {t.split("\t")[0]: wide.words[t.split("\t")[0]] for t in chosen if t.endswith("1")},
         {t.split("\t")[0]: wide.beginnings[t.split("\t")[0]] for t in chosen if t.endswith("0")},
     )
     if lexicon.automaton() is None:
         return Lexicon(base=toxic / (clean + toxic))
-    in_clean = Counter(p for r in _hits(sample, lexicon, 0) for p in r["phrases"])
-    in_toxic = {p for r in _hits(sample, lexicon, 1) for p in r["phrases"]}
-    lexicon.exceptions = frozenset(p for p, n in in_clean.items() if n >= 3 and p not in in_toxic)
+    phrases = (
+        _hits(sample, lexicon)
+        .select("label", F.explode("phrases").alias("phrase"))
+        .groupBy("phrase")
+        .agg(F.sum("label").alias("toxic"), F.count("*").alias("texts"))
+        .filter("toxic = 0 AND texts >= 3")
+    )
+    lexicon.exceptions = frozenset(r["phrase"] for r in phrases.select("phrase").collect())  # bounded by the sample
     values = sample.select(F.col("label"), scorer(lexicon, raw=True)(F.col("text")).alias("x")).toPandas()
     lexicon.slope, lexicon.center = _curve(values["x"].to_numpy(), values["label"].to_numpy(float))
     steps.drop("sample", "terms")
     return lexicon
 
 
-def _both(found: set[str], lexicon: Lexicon) -> set[str]:
+def _both(found: set[str], lexicon: Lexicon, prefixes: tuple[int, ...]) -> set[str]:
     """A word that was found is also found by each beginning of it that is a candidate."""
     out = set()
     for entry in found:
         term, word = entry.split("\t")
         if word == "1":
             out.add(entry)
-        out |= {f"{term[:k]}\t0" for k in PREFIXES if term[:k] in lexicon.beginnings and len(term) >= k}
+        out |= {f"{term[:k]}\t0" for k in prefixes if term[:k] in lexicon.beginnings and len(term) >= k}
     return out
 
 
@@ -331,3 +390,36 @@ def toxicity(docs: DataFrame, lexicon: Lexicon) -> Column:
     """The toxicity score of the ``text`` column of ``docs``."""
     ship_code(docs.sparkSession)
     return scorer(lexicon)(F.col("text"))
+
+
+def cross_validate(
+    docs: DataFrame, labels: DataFrame, settings: Sequence[Settings], folds: int = 5, rows: int = SAMPLE_ROWS
+) -> list[dict]:
+    """Per setting: recall, precision and AUC of the folds' scores, each by a lexicon of the other folds.
+
+    Only rows that are not held out are read; the folds come from another hash of the id.
+    """
+    ids = labels.filter(~remainder_is_zero(F.col("doc_id")))
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), F.lit(folds))
+    out = []
+    for setting in settings:
+        scored = []
+        for k in range(folds):
+            lexicon = learn(docs, ids.filter(fold != k), rows, setting)
+            own = labelled(docs, ids.filter(fold == k), "toxic", rows)
+            scored.append(own.select("label", toxicity(own, lexicon).alias("score")).toPandas())  # ``rows`` at most
+        both = pd.concat(scored)
+        bad, score = both["label"].to_numpy() == 1, both["score"].to_numpy()
+        rank = pd.Series(score).rank().to_numpy()
+        n = max(1, int(bad.sum()))
+        auc = (rank[bad].sum() - n * (n + 1) / 2) / max(1, n * int((~bad).sum()))
+        said = score >= 0.5
+        out.append(
+            {
+                "settings": setting,
+                "recall": float((said & bad).sum() / n),
+                "precision": float((said & bad).sum() / max(1, int(said.sum()))),
+                "auc": float(auc),
+            }
+        )
+    return out
