@@ -12,8 +12,9 @@ stay less full than FULL are opened again, and their pieces are packed anew in t
 buckets, so that the poorly filled ends of all buckets meet.  Only lengths are shuffled.
 
 Tokenising: texts of common Latin characters are cut at white space, and the ids of each distinct unit
-come from the tokenizer's own model once per task's process (at most CACHE units are kept); any
-other text goes through the whole tokenizer, unit by unit between spaces and line ends.
+come from the tokenizer's own model once per task's process (up to CACHE_BYTES, and none of more than KEPT
+characters, are kept); any other text goes through the whole tokenizer, unit by unit between spaces and
+line ends.  A long text is read in runs of about RUN characters that end between units.
 
 Nulls: a null text is an empty one: its only token is the end id.  Repeated rows are packed each.  An
 empty table gives no rows.  Extra columns are not read.  Ties: equal lengths by row and piece number,
@@ -25,7 +26,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +45,19 @@ END_ID = 1
 BUCKET = 4000
 FULL = 0.97
 ROUNDS = 6
-CACHE = 600_000
+CACHE_BYTES = 128 << 20  # of the units and ids a task's process keeps, about
+KEPT = 64  # a unit of more characters isn't kept
+ENTRY_BYTES = 220  # of a kept unit beside its characters and ids
+RUN = 1 << 20  # characters of a text that are cut into units at a time
 _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f]")
 _BREAK = re.compile("[ \\n]+")
+_SPACE = re.compile("\\s+")
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit values, equal to the tokenizer's."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -59,7 +66,7 @@ class Ids:
         self.model = self.tokenizer.model
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.parts = regex.compile(steps[0]["pattern"]["Regex"])
-        self.cache = cache
+        self.room = cache_bytes
         self.plain: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -69,34 +76,48 @@ class Ids:
                 self.byte_chars[b] = chr(256 + len(self.byte_chars) - len(printable))
 
     def _plain(self, unit: str) -> bytes:
-        ids: list[int] = []
-        for part in self.parts.findall(unit):
+        ids = array("I")
+        for part in (unit,) if unit.isalpha() else self.parts.findall(unit):  # letters alone are one part
             spelled = part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_chars)
-            ids.extend(token.id for token in self.model.tokenize(spelled))
-        return np.asarray(ids, "<u4").tobytes()
+            ids.extend([token.id for token in self.model.tokenize(spelled)])
+        return _little(ids)
 
     def _other(self, unit: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        if _OTHER.search(text) or "<|" in text:
+        return _little(array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids))
+
+    def of(self, text: str, run: int = RUN) -> bytes:
+        special = _OTHER.search(text) is not None or "<|" in text
+        if len(text) <= run:
+            return self._run(text, special)
+        out, at = [], 0
+        while at < len(text):
+            gap = _BREAK.search(text, at + run) if special else _SPACE.search(text, at + run)
+            end = gap.start() if gap else len(text)
+            out.append(self._run(text[at:end], special))
+            at = gap.end() if gap else end
+        return b"".join(out)
+
+    def _run(self, text: str, special: bool) -> bytes:
+        if special:
             units, known, make = _BREAK.split(text), self.other, self._other
         else:
             units, known, make = text.lower().split(), self.plain, self._plain
-        found = list(map(known.get, units))
-        if None in found:
-            room = self.cache - len(known)
-            for i, value in enumerate(found):
-                if value is None:
-                    unit = units[i]
-                    value = known.get(unit)
-                    if value is None:
-                        value = make(unit)
-                        if room > 0:
-                            known[unit] = value
-                            room -= 1
-                    found[i] = value
-        return b"".join(found)
+        fresh = set(units).difference(known)
+        if not fresh:
+            return b"".join(map(known.__getitem__, units))
+        made = {}
+        for unit in fresh:
+            made[unit] = value = make(unit)
+            if len(unit) <= KEPT and self.room > 0:
+                known[unit] = value
+                self.room -= ENTRY_BYTES + 2 * len(unit) + len(value)
+        return b"".join([made[u] if u in made else known[u] for u in units])
+
+
+def _little(ids: array) -> bytes:
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 _ids: dict[str, Ids] = {}

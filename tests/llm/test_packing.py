@@ -29,11 +29,31 @@ def ids_of(whole, text):
     return np.asarray([*whole.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
 
 
-@pytest.mark.parametrize("cache", [0, 5, 10_000])
-def test_ids_equal_the_tokenizer(whole, cache):
-    ids = packing.Ids(PATH, cache)
+@pytest.mark.parametrize("cache_bytes", [0, 2000, 1 << 27])
+@pytest.mark.parametrize("run", [4, 100, 1 << 20])
+def test_ids_equal_the_tokenizer(whole, cache_bytes, run):
+    ids = packing.Ids(PATH, cache_bytes)
     for text in ODD + ODD + [t or "" for _, t in DOCS]:
-        assert ids.of(text) + np.asarray([1], "<u4").tobytes() == ids_of(whole, text), text[:40]
+        assert ids.of(text, run) + np.asarray([1], "<u4").tobytes() == ids_of(whole, text), text[:40]
+
+
+def test_kept_units_are_bounded_by_bytes():
+    ids = packing.Ids(PATH, 50_000)
+    for k in range(400):
+        ids.of(f"unit{k} " + "日" * 200 + f"{k} " + "x" * 300)
+    held = sum(packing.ENTRY_BYTES + 2 * len(u) + len(v) for d in (ids.plain, ids.other) for u, v in d.items())
+    assert held <= 50_000 + 2000 and max(map(len, [*ids.plain, *ids.other])) <= packing.KEPT
+
+
+def test_each_capacity_rejects_a_sequence():
+    lengths, weights = np.array([50, 30, 20, 10, 10, 5]), np.ones(3)
+    def opened(*capacity):
+        sequence, _ = packing.best_fit(lengths, np.array(capacity, float), weights)
+        return len(set(sequence.tolist()))
+    assert opened(125, 6, 125**2) == 1
+    assert opened(124, 6, 125**2) == 2  # tokens
+    assert opened(125, 5, 125**2) == 2  # documents
+    assert opened(125, 6, int((lengths**2).sum()) - 1) == 2  # attention
 
 
 def test_random_texts_equal_the_tokenizer(whole):

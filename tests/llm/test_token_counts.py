@@ -51,7 +51,7 @@ def test_random_small_vocabularies():
 
 def test_table(spark):
     made = library(token_counts.vocabulary(PATH), True)
-    rows = token_counts.count_tokens(documents(spark), PATH, cache=10).collect()
+    rows = token_counts.count_tokens(documents(spark), PATH, cache_bytes=2000).collect()
     wanted = sorted(((i, len(made.encode(t or "").ids)) for i, t in DOCS), key=repr)
     assert sorted(((r.doc_id, r.n_tokens) for r in rows), key=repr) == wanted
     assert token_counts.count_tokens(documents(spark, []), PATH).count() == 0
@@ -64,3 +64,36 @@ def test_query_equals_the_library(spark, sf_dir):
     rows = docs.select("doc_id", "text").collect()
     sizes = made.encode_batch([r.text for r in rows])
     assert got == {r.doc_id: len(e.ids) for r, e in zip(rows, sizes, strict=True)}
+
+
+def test_long_words_and_texts_are_read_in_runs(monkeypatch):
+    pieces = token_counts.vocabulary(PATH)
+    counter, made = token_counts.Counter(pieces), library(pieces, True)
+    random.seed(5)
+    word = "".join(random.choice("abcdeé日") for _ in range(30_000))
+    assert counter.count("▁" + word)[0] == len(made.encode(word, add_special_tokens=False).ids)
+    text = " ".join(random.choice(["ab", "", "the▁", "x" * 70, "日本", word[:300]]) for _ in range(3000))
+    wanted = len(made.encode(text, add_special_tokens=False).ids)
+    for size in (1, 50, 1000, 1 << 20):
+        words = [w for run in token_counts.runs_of(text, size) for w in run]
+        assert sum(counter.count("▁" + w)[0] for w in words) == wanted
+        known = token_counts.Known(counter, 4000)
+        assert known.total(text)[0] == wanted and len(known.kept) < 40
+
+
+@pytest.mark.parametrize("text", ["a1b2" * 2_500_000, "word " * 2_000_000, "日" * 3_000_000], ids=["word", "words", "cjk"])
+def test_very_long_texts_take_linear_time_and_little_memory(text):
+    import time
+    import tracemalloc
+
+    counter = token_counts.Counter(token_counts.vocabulary(PATH))
+    known = token_counts.Known(counter, token_counts.CACHE_BYTES)
+    part = text[: len(text) // 10]
+    tracemalloc.start()
+    known.total(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    began = time.process_time()
+    known.total(text)
+    assert time.process_time() - began < 100
