@@ -15,13 +15,15 @@ main, only blocks inside them are kept.  The blocks of a main outside the articl
 these articles hold all of its good blocks, or one of them most of its good text.
 
 A null or empty page, and one without good blocks, has an empty text.  Repeated rows give the same text;
-extra columns are not read.
+extra columns are not read.  The time a page takes is in proportion to its length, also where its elements
+are nested without end or never closed: no tag looks through the open elements.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +38,7 @@ LEAST_LENGTH = 60  # characters of a block that is decided by its stop words
 GOOD_STOP = 0.2
 BAD_STOP = 0.05
 LINKS = 0.5
+LONG = 1 << 20  # characters of a block whose words are not listed
 
 # Elements of HTML by the part they play.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +68,9 @@ HIDDEN = 1  # hidden, or an element that never holds the page's text
 MARKED = 2  # a form, or a mark as a whole name
 LEADING = 3  # a mark as the leading word of a longer name
 # Elements that end an open one of the first name when they begin.
+HOLDS_ITEMS = {"ul", "ol", "dl", "table", "article", "main", "div"}
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ITEMS = set(ENDS) | HOLDS_ITEMS
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 
 # As in browsers, a quote opens a value only directly after "="; any other one is a character of the tag.
@@ -91,6 +96,26 @@ class Block:
     loose: bool = False  # its text lies directly in a div
 
 
+@dataclass
+class Holder:
+    """A left-out element that is open, within another one or none."""
+
+    at: int  # where it begins
+    hidden: bool  # it, or one around it, is never put back
+    around: Holder | None
+
+
+def _places(holders: list[Holder]) -> frozenset[int]:
+    """Where the left-out elements and all around them begin."""
+    found: set[int] = set()
+    for holder in holders:
+        inner: Holder | None = holder
+        while inner and inner.at not in found:
+            found.add(inner.at)
+            inner = inner.around
+    return frozenset(found)
+
+
 @dataclass
 class Held:
     """An article or main in left-out elements, or left out itself."""
@@ -98,7 +123,7 @@ class Held:
     at: int
     main: bool
     itself: bool
-    holders: frozenset[int]  # where the left-out elements begin, its own included
+    holders: Holder  # the innermost left-out element around it, or itself
 
 
 @dataclass
@@ -144,7 +169,11 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
     """
     parsed = Page()
     found = parsed.blocks
-    stack: list[tuple[str, int, bool, int]] = []  # element, why it is left out, whether an article, where it begins
+    stack: list[tuple[str, int, bool]] = []  # element, why it is left out, whether an article
+    opened: Counter[str] = Counter()  # open elements by name
+    bounds: list[int] = []  # places in the stack of block elements
+    items: list[int] = []  # places in the stack of ITEMS
+    holder: Holder | None = None
     out = articles = zone = links = 0
     zones: list[int] = []
     block = Block(0)
@@ -152,7 +181,7 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
 
     def flush() -> None:
         nonlocal block
-        text = " ".join(html.unescape("".join(block.parts)).split())
+        text = _spaced(html.unescape("".join(block.parts)))
         if text:
             block.text = text
             found.append(block)
@@ -161,18 +190,24 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
     def add(text: str) -> None:
         if not out and text:
             if zone and not block.parts:
-                block.loose = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "") == "div"
+                block.loose = bool(bounds) and stack[bounds[-1]][0] == "div"
             block.parts.append(text)
             if links:
                 block.linked += len(text)
 
     def close(depth: int) -> None:
-        nonlocal out, links, zone
+        nonlocal out, links, zone, holder
         while len(stack) > depth:
-            name, left_out, article, _ = stack.pop()
+            name, left_out, article = stack.pop()
+            opened[name] -= 1
             if name in BLOCKS:
+                bounds.pop()
                 flush()
-            out -= left_out > 0
+            if name in ITEMS:
+                items.pop()
+            if left_out:
+                out -= 1
+                holder = holder.around
             links -= name == "a"
             if article:
                 zones.pop()
@@ -190,31 +225,28 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
         if not name:
             continue
         if tag["end"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    close(depth)
-                    break
-            else:
-                if name in BLOCKS:
-                    flush()
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                close(depth)
+            elif name in BLOCKS:
+                flush()
             continue
         if name in RAW:
             end = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if name in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
+        if name in CLOSES_P and bounds and stack[bounds[-1]][0] == "p":
+            close(bounds[-1])
+        if name in ENDS:
+            # two items of a kind are never open without a holder between, so few are passed
+            for depth in reversed(items):
+                if stack[depth][0] in ENDS[name]:
                     close(depth)
                     break
-                if stack[depth][0] in BLOCKS:
+                if stack[depth][0] in HOLDS_ITEMS:
                     break
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] in ENDS.get(name, ()):
-                close(depth)
-                break
-            if stack[depth][0] in ("ul", "ol", "dl", "table", "article", "main", "div"):
-                break
         if name in BLOCKS:
             flush()
         elif name in ("br", "td", "th", "img", "wbr") and name != "wbr":
@@ -228,11 +260,13 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
             parsed.leading.append(tag.start())
         main = name == "main" or 'role="main"' in tag["rest"]
         article = main or name in MAIN
-        if article and (out or left_out):
+        if left_out:
+            hidden = left_out == HIDDEN or (holder is not None and holder.hidden)
+            holder = Holder(tag.start(), hidden, holder)
+        if article and holder:
             article = False
-            why = [(e[1], e[3]) for e in stack if e[1]] + [(left_out, tag.start())] * (left_out > 0)
-            if all(w != HIDDEN for w, _ in why):
-                parsed.held.append(Held(tag.start(), main, left_out > 0, frozenset(at for _, at in why)))
+            if not holder.hidden:
+                parsed.held.append(Held(tag.start(), main, left_out > 0, holder))
         if article:
             articles += 1
             parsed.articles.append(tag.start())
@@ -242,7 +276,12 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
             zones.append(articles)
             zone = articles
             block.zone = zone
-        stack.append((name, left_out, article, tag.start()))
+        if name in BLOCKS:
+            bounds.append(len(stack))
+        if name in ITEMS:
+            items.append(len(stack))
+        stack.append((name, left_out, article))
+        opened[name] += 1
         out += left_out > 0
         links += name == "a"
     close(0)
@@ -250,13 +289,29 @@ def blocks(page: str, spared: frozenset[int] = frozenset()) -> Page:
     return parsed
 
 
+def _spaced(text: str) -> str:
+    """The text with runs of white space as one space; a long one without a list of its words."""
+    return " ".join(text.split()) if len(text) <= LONG else re.sub(r"\s+", " ", text).strip()
+
+
+def _density(text: str) -> float:
+    """The share of stop words among the words of a text."""
+    if len(text) <= LONG:
+        words = WORD.findall(text)
+        return sum(w in STOP for w in words) / len(words) if words else 0.0
+    n = stops = 0
+    for m in WORD.finditer(text):
+        n += 1
+        stops += m[0] in STOP
+    return stops / max(1, n)
+
+
 def _first_pass(block: Block) -> bool | None:
     """Good, bad, or None: ambiguous."""
     length = len(block.text)
     if block.linked > LINKS * length:
         return False
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP for w in words) / len(words) if words else 0.0
+    density = _density(block.text.lower())
     if length >= LEAST_LENGTH and density >= GOOD_STOP:
         return True
     if not block.zone and length >= LEAST_LENGTH and density < BAD_STOP:
@@ -275,10 +330,10 @@ def _whole(page: str) -> Page:
         return parsed
     mains = [h.holders for h in parsed.held if h.main]
     if mains:
-        return blocks(page, frozenset().union(*mains))
+        return blocks(page, _places(mains))
     if parsed.held:
         outside = _good_size(parsed.blocks)
-        trial = blocks(page, frozenset().union(*(h.holders for h in parsed.held)))
+        trial = blocks(page, _places([h.holders for h in parsed.held]))
         sizes = dict.fromkeys(trial.articles, 0)
         for b in trial.blocks:
             sizes[trial.articles[b.zone]] += len(b.text) if _first_pass(b) else 0
@@ -286,7 +341,7 @@ def _whole(page: str) -> Page:
         own = [h for h in parsed.held if not h.itself] or ([] if outside else parsed.held)
         best = max(own, key=lambda h: sizes.get(h.at, 0), default=None)
         if best and (sizes.get(best.at, 0) > outside or not outside):
-            return blocks(page, best.holders)
+            return blocks(page, _places([best.holders]))
     if parsed.leading and not _good_size(parsed.blocks):
         trial = blocks(page, frozenset(parsed.leading))
         if sum(_first_pass(b) is True for b in trial.blocks) > 1:
@@ -297,13 +352,12 @@ def _whole(page: str) -> Page:
 def _emptied(parsed: Page) -> set[int]:
     """The mains whose own blocks are dropped, as articles inside say more."""
     inside: dict[int, set[int]] = {m: set() for m in parsed.mains}
+    nearest = [0]  # of each zone, the main around it
     for zone in range(1, len(parsed.around)):
         outer = parsed.around[zone]
-        while outer:
-            if outer in inside and zone not in parsed.mains:
-                inside[outer].add(zone)
-                break
-            outer = parsed.around[outer]
+        nearest.append(outer if outer in inside else nearest[outer])
+        if nearest[zone] and zone not in parsed.mains:
+            inside[nearest[zone]].add(zone)
     of: dict[int, list[tuple[int, Block]]] = {}
     for i, b in enumerate(parsed.blocks):
         of.setdefault(b.zone, []).append((i, b))

@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -130,3 +131,68 @@ def test_query_equals_the_layout(spark, sf_dir):
     pages = {r.page_id: r.html for r in read(spark, sf_dir, "pages").collect()}
     for r in op10_html_extraction(spark, sf_dir).collect():
         assert r.text == article(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+N = 60_000
+WORST = {
+    "stray ends": "<span>" * N + "</b>" * N,
+    "rules": "<span>" * N + "<hr>" * N,
+    "items": "<ul>" + "<span>" * N + "<li>x" * N,
+    "divs": "<span>" * N + "<div>x</div>" * N,
+    "open divs": "<div>x" * N,
+    "paragraphs": "<b>" * N + "<p>x" * N,
+    "forms": "<form>" * N + "<article>x" * N,
+    "hidden": "<nav><article>x" * N,
+    "articles": "<article>x" * N,
+    "mains": "<main><article>x" * N,
+    "marked": "<div class=ad><main>x" * N,
+    "cells": "<table>" + "<tr><td><span>x" * N,
+    "comments": "<!-- " * N,
+    "brackets": "<a b=<" * N,
+    "quotes": "<a b='" * N,
+    "raw": "<script>" * N,
+    "references": "&amp" * N + "&#x" * N,
+    "one block": "the text of a word " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", list(WORST))
+def test_worst_pages_take_linear_time(name):
+    began = time.process_time()
+    extract.main_text(WORST[name])
+    assert time.process_time() - began < 15
+
+
+STORY = "This is the story of a house by the river, and of the people who lived in it for many years of their life."
+SECOND = "After the war they came back to the town, and it was there that he met her at the end of a long day."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # a table layout of old pages, with a menu of links and a foot line
+        (
+            f"<table><tr><td><a href=a>Home</a> <a href=b>News of the day</a><td><p>{STORY}<p>{SECOND}</table>"
+            "<center><a href=c>About the makers of this page</a></center>",
+            f"{STORY}\n{SECOND}",
+        ),
+        # a heading between two paragraphs takes their label; one beside a menu is nearer to it
+        (f"<ul><li><a href=x>The way to it</a></ul><p>{STORY}</p><h2>Years</h2><p>{SECOND}</p>", f"{STORY}\nYears\n{SECOND}"),
+        # marked-up text, references, and white space inside
+        (f"<article><p>{STORY[:20]}<b>{STORY[20:40]}</b>\n <i>{STORY[40:]}</i> &amp; &lt;more&gt;&nbsp;</p></article>", f"{STORY} & <more>".replace("  ", " ")),
+        # no closing tags at all
+        (f"<body><nav><li><a href=x>one</nav><article><p>{STORY}<p>{SECOND}", f"{STORY}\n{SECOND}"),
+        # reader comments and an advert inside the article
+        (
+            f"<main><article><p>{STORY}</p><div class='ad'>Buy it now, the best of all of them and for less</div><p>{SECOND}</p>"
+            f"<section class=comments><p>{STORY}</p></section></article></main>",
+            f"{STORY}\n{SECOND}",
+        ),
+        # scripts and styles with tags in them, upper case
+        (f"<SCRIPT>if (a < b) document.write('<p>{SECOND}</p>')</SCRIPT><STYLE>p > a {{}}</STYLE><P>{STORY}</P>", STORY),
+        # a form that is no search box: the page's article is inside it
+        (f"<form action=/><article><p>{STORY}</p></article></form>", STORY),
+    ],
+)
+def test_hand_made_pages(page, text):
+    assert extract.main_text(page) == text
