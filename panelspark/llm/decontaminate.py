@@ -4,12 +4,15 @@ An item is cut into windows of ten consecutive words (an item of fewer words is
 window is the set of its five-word shingles (of its words as one shingle, if it has fewer than
 five).  A text that contains the window contains all its shingles, so one of them is a necessary
 prefix: the one with the fewest occurrences in the whole corpus.  Only occurrences of prefix shingles
-leave the scan of the corpus.  They meet the windows in a join on the shingle, where a position
-bound (the window must begin at or after the text's first word) and a length bound (it must end at
-or before the last) come before the exact comparison of the words.
+leave the scan of the corpus, with the words around them that a window can take; a window that is one
+shingle needs none.  They meet the windows in a join on the shingle, where a position bound (the window
+must begin at or after the text's first word) and a length bound (it must end at or before the last) come
+before the exact comparison of the words.
 
 The corpus is scanned twice: to count the occurrences of the items' shingles, and to find the
-prefixes.  Both scans test shingles against a bit table of fixed size, the only thing broadcast.
+prefixes.  Both scans test shingles against a bit table of fixed size, the only thing broadcast.  Beyond
+some ten million shingles the table lets most words through; then the joins read more rows, and the result is
+the same.  A text of any length is read in pieces, and its hits leave in slices.
 
 Nulls: a null text or item has no words; an item without an id marks words but is not counted or
 listed.  Repeated rows are separate documents; repeated items count once.  Empty tables give no rows
@@ -25,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Steps, byte_slices, text_buffers, text_key, without
-from panelspark.llm.wordhash import Words
+from panelspark.llm.common import Steps, text_buffers, text_key, without
+from panelspark.llm.wordhash import LONG, Words, word_pieces
 
 WINDOW = 10
 SHINGLE = 5
@@ -35,8 +38,9 @@ FILTER_BITS = 26  # the bit table has 2**26 bits (8 MB), whatever the size of th
 WINDOW_SCHEMA = "item_id long, words array<string>, n_words int, shingles array<long>"
 FOUND_SCHEMA = (
     "row_id long, doc_id long, text_key long, n_words long,"
-    " found array<struct<position: long, shingle: long, lead: long, context: array<string>>>"
+    " position long, shingle long, lead int, context array<string>"
 )
+ROWS = 4096  # windows or hits that leave a task at a time
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -51,21 +55,25 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
                 n = len(words.hash)
                 if not n:
                     continue
-                texts = [words.word(k) for k in range(n)]
                 length = min(window, n)
                 size = min(shingle, length)
                 grams = words.grams(size)[0].view(np.int64)
-                runs = [(k, k + length) for k in range(n - length + 1)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "item_id": pa.array([item_id] * len(runs), pa.int64()),
-                        "words": pa.array([texts[a:b] for a, b in runs], pa.list_(pa.string())),
-                        "n_words": pa.array([length] * len(runs), pa.int32()),
-                        "shingles": pa.array(
-                            [grams[a : b - size + 1].tolist() for a, b in runs], pa.list_(pa.int64())
-                        ),
-                    }
-                )
+                for begin in range(0, n - length + 1, ROWS):
+                    stop = min(n - length + 1, begin + ROWS)
+                    texts = [words.word(k) for k in range(begin, stop + length - 1)]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "item_id": pa.array([item_id] * (stop - begin), pa.int64()),
+                            "words": pa.array(
+                                [texts[k : k + length] for k in range(stop - begin)], pa.list_(pa.string())
+                            ),
+                            "n_words": pa.array([length] * (stop - begin), pa.int32()),
+                            "shingles": pa.array(
+                                [grams[k : k + length - size + 1].tolist() for k in range(begin, stop)],
+                                pa.list_(pa.int64()),
+                            ),
+                        }
+                    )
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, WINDOW_SCHEMA)
 
@@ -89,7 +97,7 @@ def _listed(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _occurrences(docs: DataFrame, sizes: list[int], table) -> DataFrame:
+def _occurrences(docs: DataFrame, sizes: list[int], table, piece: int) -> DataFrame:
     """(shingle, n): occurrences in the texts, already summed within a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,66 +105,65 @@ def _occurrences(docs: DataFrame, sizes: list[int], table) -> DataFrame:
         for batch in batches:
             raw, starts = text_buffers(batch.column("text"))
             seen = []
-            for i, j in byte_slices(starts):
-                words = Words(raw, starts[i : j + 1])
+            for _, _, words, _, own, end in word_pieces(raw, starts, 0, max(sizes, default=1) - 1, piece):
                 for size in sizes:
-                    grams = words.grams(size)[0]
-                    seen.append(grams[_listed(bits, grams)])
-            values, counts = np.unique(np.concatenate(seen or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_pydict(
-                {"shingle": pa.array(values.view(np.int64)), "n": pa.array(counts.astype(np.int64))}
-            )
+                    grams, at = words.grams(size)
+                    grams = grams[(at >= own) & (at < end)]
+                    seen.append(np.unique(grams[_listed(bits, grams)], return_counts=True))
+            values = np.concatenate([v for v, _ in seen] or [np.zeros(0, np.uint64)])
+            values, place = np.unique(values, return_inverse=True)
+            counts = np.zeros(len(values), np.int64)
+            np.add.at(counts, place, np.concatenate([n for _, n in seen] or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(values.view(np.int64)), "n": pa.array(counts)})
 
     found = docs.select("text").mapInArrow(count, "shingle long, n long")
     return found.groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def _prefix_hits(docs: DataFrame, sizes: list[int], table, reach: int) -> DataFrame:
-    """One row per text: its words counted, and each prefix shingle found with the words around it."""
+def _prefix_hits(docs: DataFrame, sizes: list[int], table, shingle: int, reach: int, piece: int) -> DataFrame:
+    """A row for each text, with its number of words, and one for each prefix shingle found in it.
+
+    The latter has the shingle's place and the words around it, ``lead`` of them before it.
+    """
+    names = [part.split()[0] for part in FOUND_SCHEMA.split(", ")]
+    types = [pa.int64()] * 6 + [pa.int32(), pa.list_(pa.string())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
+
+        def out(columns: list) -> pa.RecordBatch:
+            n = len(columns[0])
+            arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        def leave(hits: list[tuple]) -> pa.RecordBatch:
+            row, position, gram, lead, context = map(list, zip(*hits, strict=True))
+            return out([row, None, None, None, position, gram, lead, context])
+
         for batch in batches:
             raw, starts = text_buffers(batch.column("text"))
-            counts, found = [], []
-            for i, j in byte_slices(starts):
-                words = Words(raw, starts[i : j + 1])
-                counts.append(words.count)
-                rows: list[list] = [[] for _ in range(j - i)]
+            rows = batch.column("row_id").to_numpy()
+            counts = np.zeros(len(rows), np.int64)
+            hits: list[tuple] = []
+            for i, j, words, offset, own, end in word_pieces(raw, starts, reach, reach + shingle - 1, piece):
+                counts[i:j] += np.bincount(words.text[own:end], minlength=j - i)
                 for size in sizes:
+                    near = reach if size == shingle else 0  # a smaller shingle is a whole window
                     grams, at = words.grams(size)
-                    hit = np.flatnonzero(_listed(bits, grams))
+                    hit = np.flatnonzero(_listed(bits, grams) & (at >= own) & (at < end))
                     for h, k in zip(grams[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True):
                         text = int(words.text[k])
                         lo, hi = int(words.base[text]), int(words.base[text + 1])
-                        a, b = max(lo, k - reach), min(hi, k + reach + size)
-                        rows[text].append(
-                            {
-                                "position": k - lo,
-                                "shingle": h,
-                                "lead": k - a,
-                                "context": [words.word(x) for x in range(a, b)],
-                            }
-                        )
-                found.extend(rows)
-            struct = pa.struct(
-                [
-                    ("position", pa.int64()),
-                    ("shingle", pa.int64()),
-                    ("lead", pa.int64()),
-                    ("context", pa.list_(pa.string())),
-                ]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row_id"),
-                    batch.column("doc_id"),
-                    batch.column("text_key"),
-                    pa.array(np.concatenate(counts or [np.zeros(0)]).astype(np.int64)),
-                    pa.array(found, pa.list_(struct)),
-                ],
-                names=["row_id", "doc_id", "text_key", "n_words", "found"],
-            )
+                        a, b = max(lo, k - near), min(hi, k + near + size)
+                        context = [words.word(x) for x in range(a, b)]
+                        hits.append((int(rows[i + text]), k - lo + offset, h, k - a, context))
+                        if len(hits) == ROWS:
+                            yield leave(hits)
+                            hits = []
+            if hits:
+                yield leave(hits)
+            known = [batch.column(c) for c in ("row_id", "doc_id", "text_key")]
+            yield out([*known, counts, None, None, None, None])
 
     numbered = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
@@ -168,11 +175,12 @@ def _prefix_hits(docs: DataFrame, sizes: list[int], table, reach: int) -> DataFr
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, piece: int = LONG
 ) -> DataFrame:
     """Per document: n_words, n_hit (words inside any occurrence of a window), the items found.
 
-    Columns: doc_id, text_key, n_words, n_hit, n_items, items (their ids as text, sorted).
+    Columns: doc_id, text_key, n_words, n_hit, n_items, items (their ids as text, sorted).  A text of more
+    than ``piece`` bytes is read in pieces.
     """
     spark = docs.sparkSession
     steps = Steps(spark, "decontaminate")
@@ -186,7 +194,7 @@ def decontaminate(
     sizes = sorted(set(sizes))  # at most `shingle` values
 
     table = spark.sparkContext.broadcast(bit_table(parts, "shingle"))
-    counts = steps.store(_occurrences(docs, sizes, table), "counts")
+    counts = steps.store(_occurrences(docs, sizes, table, piece), "counts")
     prefixes = steps.store(
         parts.join(counts, "shingle", "left")
         .groupBy("window_id")
@@ -196,19 +204,20 @@ def decontaminate(
         "prefixes",
     )
     table = spark.sparkContext.broadcast(bit_table(prefixes, "shingle"))
-    texts = steps.store(_prefix_hits(docs, sizes, table, window - min(sizes, default=1)), "texts")
+    found = steps.store(_prefix_hits(docs, sizes, table, shingle, window - shingle, piece), "texts")
+    texts = found.filter("position IS NULL")
 
-    candidates = texts.select("row_id", F.col("n_words").alias("text_words"), F.explode("found").alias("f"))
-    begin = F.col("f.position") - F.col("offset")
+    candidates = found.filter("position IS NOT NULL").select(
+        "row_id", "position", F.col("shingle").alias("hit"), "lead", "context"
+    )
+    begin = F.col("position") - F.col("offset")
+    first = F.col("lead") - F.col("offset")  # of the window's words in the context
     matched = (
-        candidates.join(prefixes, F.col("f.shingle") == F.col("shingle"))
-        .filter((begin >= 0) & (F.col("f.lead") >= F.col("offset")))
+        candidates.join(prefixes, F.col("hit") == F.col("shingle"))
+        .filter((begin >= 0) & (first >= 0))
         .join(items.select("window_id", "item_id", "words", "n_words"), "window_id")
-        .filter(begin + F.col("n_words") <= F.col("text_words"))
-        .filter(
-            F.slice("f.context", (F.col("f.lead") - F.col("offset") + 1).cast("int"), F.col("n_words"))
-            == F.col("words")
-        )
+        .filter(first + F.col("n_words") <= F.size("context"))
+        .filter(F.slice("context", (first + 1).cast("int"), F.col("n_words")) == F.col("words"))
         .select("row_id", "item_id", begin.alias("begin"), (begin + F.col("n_words")).alias("end"))
         .distinct()
     )

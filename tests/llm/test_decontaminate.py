@@ -1,8 +1,9 @@
+import pyarrow as pa
 import pytest
 from cases import BASE, DOCS, contaminated, documents
 
 from panelspark.llm import decontaminate
-from panelspark.llm.common import read
+from panelspark.llm.common import read, text_buffers
 from panelspark.llm.queries import op3_decontamination
 
 ITEMS = [
@@ -70,3 +71,40 @@ def test_query_equals_brute_force(spark, sf_dir):
     wanted = {r.doc_id: c[:2] + (len(c[2]),) for r, c in zip(rows, counted, strict=True)}
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in op3_decontamination(spark, sf_dir).collect()}
     assert got == wanted and any(c[1] for c in wanted.values())
+
+
+def test_long_texts_are_read_in_pieces(spark):
+    """Windows that lie across the borders of pieces, and items of one frequent word."""
+    rows, items = [], [(1, BASE), (2, "the"), (3, "river the"), (4, "a b c d e f"), (5, "x")]
+    for k in range(12):
+        filler = " ".join(f"f{n}" for n in range(40 + 7 * k))
+        rows.append((k, f"{filler} {BASE} {filler} a b c d e f {'x ' * 50} {BASE} the river the".strip()))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    out = []
+    for piece in (256, 2000, 1 << 22):
+        got = decontaminate.decontaminate(documents(spark, rows), table, piece=piece).collect()
+        out.append(sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=repr))
+    counted = contaminated([t for _, t in rows], items)
+    assert out == [sorted(((i, *c) for (i, _), c in zip(rows, counted, strict=True)), key=repr)] * 3
+
+
+def piece_hits(text, items, size):
+    """Hits of the shingles of one text, read in pieces of this size."""
+    raw, starts = text_buffers(pa.array([text]))
+    out = []
+    for _, _, words, offset, own, end in decontaminate.word_pieces(raw, starts, 5, 9, size):
+        grams, at = words.grams(5)
+        keep = (at >= own) & (at < end)
+        for g, k in zip(grams[keep].tolist(), at[keep].tolist(), strict=True):
+            out.append((g, k + offset, [words.word(x) for x in range(max(0, k - 5), min(len(words.hash), k + 10))]))
+    return out
+
+
+def test_pieces_carry_the_words_around():
+    text = " ".join(f"w{n}" for n in range(900))
+    assert piece_hits(text, None, 1 << 22) == piece_hits(text, None, 256) == piece_hits(text, None, 2000)
+
+
+def test_one_text_of_one_frequent_word(spark):
+    rows = [(1, "the " * 200_000 + BASE), (2, "none of it")]
+    assert found(spark, documents(spark, rows), [(1, "the"), (2, BASE)]) == wanted(rows, [(1, "the"), (2, BASE)])
