@@ -12,8 +12,8 @@ stay less full than FULL are opened again, and their pieces are packed anew in t
 buckets, so that the poorly filled ends of all buckets meet.  Only lengths are shuffled.
 
 Tokenising: texts of common Latin characters are cut at white space, and the ids of each distinct unit
-come from the tokenizer's own model once per task's process (up to CACHE_BYTES, and none of more than KEPT
-characters, are kept); any other text goes through the whole tokenizer, unit by unit between spaces and
+come from the tokenizer's own model once per task's process (up to CACHE_BYTES are kept, and none of more
+than KEPT characters); any other text goes through the whole tokenizer, unit by unit between spaces and
 line ends.  A long text is read in runs of about RUN characters that end between units.
 
 Nulls: a null text is an empty one: its only token is the end id.  Repeated rows are packed each.  An
@@ -45,7 +45,7 @@ END_ID = 1
 BUCKET = 4000
 FULL = 0.97
 ROUNDS = 6
-CACHE_BYTES = 128 << 20  # of the units and ids a task's process keeps, about
+CACHE_BYTES = 256 << 20  # of the units and ids a task's process keeps, about; beyond it, it begins anew
 KEPT = 64  # a unit of more characters isn't kept
 ENTRY_BYTES = 220  # of a kept unit beside its characters and ids
 RUN = 1 << 20  # characters of a text that are cut into units at a time
@@ -66,7 +66,7 @@ class Ids:
         self.model = self.tokenizer.model
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.parts = regex.compile(steps[0]["pattern"]["Regex"])
-        self.room = cache_bytes
+        self.cache_bytes = self.room = cache_bytes
         self.plain: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -102,16 +102,21 @@ class Ids:
             units, known, make = _BREAK.split(text), self.other, self._other
         else:
             units, known, make = text.lower().split(), self.plain, self._plain
-        fresh = set(units).difference(known)
-        if not fresh:
-            return b"".join(map(known.__getitem__, units))
-        made = {}
-        for unit in fresh:
-            made[unit] = value = make(unit)
-            if len(unit) <= KEPT and self.room > 0:
-                known[unit] = value
+        long = []
+        for unit in set(units).difference(known):
+            known[unit] = value = make(unit)
+            if len(unit) > KEPT:
+                long.append(unit)
+            else:
                 self.room -= ENTRY_BYTES + 2 * len(unit) + len(value)
-        return b"".join([made[u] if u in made else known[u] for u in units])
+        out = b"".join(map(known.__getitem__, units))
+        for unit in long:
+            del known[unit]
+        if self.room < 0:  # frequent units soon come back
+            self.plain.clear()
+            self.other.clear()
+            self.room = self.cache_bytes
+        return out
 
 
 def _little(ids: array) -> bytes:

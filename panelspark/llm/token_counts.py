@@ -32,7 +32,7 @@ from panelspark.llm.common import ship_code
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_BYTES = 96 << 20  # of the words and counts a task's process keeps, about
+CACHE_BYTES = 192 << 20  # of the words and counts a task's process keeps, about; beyond it, it begins anew
 KEPT = 64  # a word of more characters isn't kept
 ENTRY_BYTES = 180  # of a kept word beside its characters
 RUN = 1 << 20  # characters of a text that are cut into words at a time
@@ -156,25 +156,27 @@ class Known:
     """Counts of the words that were seen, as one number each."""
 
     def __init__(self, counter: Counter, cache_bytes: int):
-        self.counter, self.room, self.kept = counter, cache_bytes, {}
-
-    def _count(self, word: str) -> int:
-        pieces, lost = self.counter.count(SPACE + word)
-        value = pieces + (lost << _SHIFT)
-        if len(word) <= KEPT and self.room > 0:
-            self.kept[word] = value
-            self.room -= ENTRY_BYTES + 2 * len(word)
-        return value
+        self.counter, self.cache_bytes, self.room = counter, cache_bytes, cache_bytes
+        self.kept: dict[str, int] = {}
 
     def total(self, text: str) -> tuple[int, int]:
+        """(pieces, characters no piece covers) of a text."""
         total, kept = 0, self.kept
         for words in runs_of(text):
-            fresh = set(words).difference(kept)
-            if not fresh:
-                total += sum(map(kept.__getitem__, words))
-                continue
-            made = {w: self._count(w) for w in fresh}
-            total += sum(made[w] if w in made else kept[w] for w in words)
+            long = []
+            for word in set(words).difference(kept):
+                pieces, lost = self.counter.count(SPACE + word)
+                kept[word] = pieces + (lost << _SHIFT)
+                if len(word) > KEPT:
+                    long.append(word)
+                else:
+                    self.room -= ENTRY_BYTES + 2 * len(word)
+            total += sum(map(kept.__getitem__, words))
+            for word in long:
+                del kept[word]
+            if self.room < 0:  # frequent words soon come back
+                kept.clear()
+                self.room = self.cache_bytes
         return total & ((1 << _SHIFT) - 1), total >> _SHIFT
 
 
