@@ -6,6 +6,8 @@ import numpy as np
 from cases import documents
 
 from panelspark.llm import shard
+from panelspark.llm.common import read
+from panelspark.llm.queries import op1_sharding
 
 
 def check(rows, shards):
@@ -65,3 +67,36 @@ def test_a_group_with_a_third_of_all_bytes_is_cut(spark):
     for r in found:
         held[r.shard] += r.size
     assert max(held.values()) - min(held.values()) < 0.05 * sum(held.values()) / 8
+
+
+def test_query_over_the_whole_table(spark, sf_dir):
+    """Every column of the registered query against the texts themselves."""
+    texts = defaultdict(list)
+    for r in read(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        texts[r.doc_id].append((r.text or "").encode())
+    rows = op1_sharding(spark, sf_dir).collect()
+    assert len(rows) == sum(map(len, texts.values()))
+    wanted = sorted((i, len(t) + 16, zlib.crc32(t)) for i, held in texts.items() for t in held)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == wanted
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    check(rows, 40)
+    held = defaultdict(int)
+    for r in rows:
+        held[r.shard] += r["size"]
+    assert len(held) == 40
+    # as even as placing the largest group first on the least full shard, which is done here by hand
+    groups = defaultdict(int)
+    for own in texts.values():
+        for t in own:
+            groups[t] += len(t) + 16
+    plain = [0] * 40
+    for size in sorted(groups.values(), reverse=True):
+        plain[plain.index(min(plain))] += size
+    assert max(held.values()) - min(held.values()) <= max(max(plain) - min(plain), 64)
+    # equal texts stay together, unless a group is larger than a shard's share
+    of = defaultdict(set)
+    for r in rows:
+        of[r.text_crc32, r["size"]].add(r.shard)
+    share = sum(groups.values()) / 40
+    sizes = {(zlib.crc32(t), len(t) + 16): n for t, n in groups.items()}
+    assert all(len(s) == 1 for k, s in of.items() if sizes[k] <= share)
