@@ -106,7 +106,7 @@ def docs_roundtrip(spark, sf):
 
 
 def entities_list(spark, sf):
-    return entities.list_entities(star.panel(spark, sf), _master(spark, sf))
+    return entities.list_entities(star.panel_entities(spark, sf), _master(spark, sf))
 
 
 def entities_count(spark, sf):

@@ -182,6 +182,23 @@ def panel(
     )
 
 
+def panel_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """(entity, code): the nations and regions of which the panel has rows."""
+    nation = load(spark, directory, "nation")
+    region = load(spark, directory, "region")
+    customer = load(spark, directory, "customer")
+    ordering = load(spark, directory, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    seen = customer.join(ordering, "c_custkey", "left_semi").select(F.col("c_nationkey").alias("n_nationkey"))
+    placed = nation.join(seen.distinct(), "n_nationkey", "left_semi").join(
+        region, F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    members = F.array(
+        F.struct(F.col("n_name").alias("entity"), F.col("n_nationkey").cast("string").alias("code")),
+        F.struct(F.col("r_name").alias("entity"), F.concat(F.lit("OWID_"), "r_name").alias("code")),
+    )
+    return placed.select(F.inline(members)).distinct()
+
+
 def trade(
     spark: SparkSession, directory: str, since: int | None = None, until: int | None = None
 ) -> DataFrame:
