@@ -37,6 +37,7 @@ THRESHOLD = 0.8
 RECALL = 0.998
 MAX_HASHES = 160
 BLOCK = 2048  # members of a gathering verified against each other in one task
+LEAST_TASKS = 8  # of a step of the component rounds
 SLICE = 128  # members whose pairs with all others are judged at a time
 SALTS = 16  # parts that the rows of a class are split into when they meet its name
 BLOCK_BYTES = 1 << 24  # bytes of text of a block, about; a longer text is a block of its own
@@ -252,31 +253,39 @@ def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return near.unionByName(rest)
 
 
-def components(steps: Steps, edges: DataFrame, name: str = "star", rounds: int = 40) -> DataFrame:
+def components(
+    steps: Steps, edges: DataFrame, name: str = "star", rounds: int = 40, per_task: int | None = None
+) -> DataFrame:
     """(node, root): the smallest node of each node's component, by large-star and small-star rounds.
 
     Each round is a grouping and a join on the narrow edge table, written to the shared folder.  The
     number of rounds grows with the logarithm of the longest chain.  The groupings combine before the
-    shuffle, and the joins leave the edges of hot nodes in place, so no task holds one node's edges.
+    shuffle, and the joins leave the edges of hot nodes in place, so no task holds one node's edges.  With
+    ``per_task`` a step runs in as many tasks as its edges need at so many each, and not in more.
     """
+
+    def fewer(df: DataFrame) -> DataFrame:
+        return df if per_task is None or total is None else df.coalesce(max(LEAST_TASKS, 2 * total // per_task))
+
+    total = None
     pair = edges.select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v"))
     current = steps.store(pair.filter("u <> v").distinct(), f"{name}-0")
     total = current.count()
     state = None
     for k in range(1, rounds + 1):
         both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        least = fewer(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
         least = least.withColumn("m", F.least("u", "m"))
         large = _with_least(both, least, total).filter("v > u")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        large = fewer(large.filter("u <> v").distinct())
+        low = fewer(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
         small = (
             _with_least(large, low, total)
             .select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
             .select("e.u", F.col("e.m").alias("v"))
         )
-        following = steps.store(small.filter("u <> v").distinct(), f"{name}-{k}")
+        following = steps.store(fewer(small.filter("u <> v").distinct()), f"{name}-{k}")
         found = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         steps.drop(f"{name}-{k - 1}")
         current = following

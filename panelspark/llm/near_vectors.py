@@ -50,6 +50,8 @@ BLOCK = 4096  # vectors of a component compared with each other in one task
 BIN_ROWS = 3000  # vectors of small groups that share a task's group
 EDGE_ROWS = 1 << 20  # border rows put in order by one task; more are thinned in further rounds
 SLICE = 512  # rows of the matrix of cosines held at a time
+PER_TASK = 250_000  # rows of a narrow table that a task reads; a small one isn't spread over more tasks
+LEAST_TASKS = 8
 SALTS = 16  # parts that the rows of a vector's copies are split into when they meet its result
 
 KEYS = ["k0", *[f"k{1 + w}" for w in range(SKETCH)]]
@@ -308,6 +310,11 @@ def _with_vectors(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return members.join(wanted.select("node", "dim", "vector", "copies"), "node")
 
 
+def _narrow(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of about so many rows, in as few tasks as it needs."""
+    return df.coalesce(max(LEAST_TASKS, rows // PER_TASK))
+
+
 def _bins(rows: int) -> int:
     return max(1, math.ceil(rows / BIN_ROWS))
 
@@ -352,15 +359,19 @@ def near_vectors(
             depths = _depths(_in_order(_sign(nodes, 1)), window, limit).toPandas()  # 65 rows
             passes = choose_passes(depths.set_index("depth")["n"].to_dict(), threshold, recall)
     groups = steps.store(candidate_groups(steps, nodes, passes, window, limit, edge_rows), "groups")
-    bins = F.pmod(F.xxhash64("group"), F.lit(_bins(groups.count())))
+    n_groups = groups.count()
+    groups = _narrow(groups, n_groups)
+    bins = F.pmod(F.xxhash64("group"), F.lit(_bins(n_groups)))
     edges = (
         _with_vectors(groups, nodes)
         .withColumn("bin", bins)
         .groupBy("bin")
         .applyInPandas(lambda pdf: _verify(pdf, threshold), "node long, root long")
     )
-    roots = steps.store(components(steps, steps.store(edges, "edges")), "roots")
+    edges = _narrow(steps.store(edges, "edges"), n_groups)
+    roots = components(steps, edges, per_task=PER_TASK)
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
+    both = steps.store(_narrow(both, n_groups), "roots")
     sizes = both.groupBy("root").agg(F.count("*").alias("members"))
     members = steps.store(
         both.join(sizes, "root")
