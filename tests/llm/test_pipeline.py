@@ -15,7 +15,7 @@ from panelspark.llm.common import Steps, read
 
 def test_registered():
     names = [k for k in entry.queries() if re.match(r"op\d+_", k)]
-    assert [int(re.match(r"op(\d+)_", k)[1]) for k in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", k)[1]) for k in names] == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
