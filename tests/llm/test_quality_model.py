@@ -100,3 +100,58 @@ def test_score_equals_fixed_weights_by_hand(spark):
     assert quality_model.features("one two") == pytest.approx(
         [math.log1p(2) / 10, 0.3, 1.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1 / 7, 1.0, math.log1p(3) / 10]
     )
+
+
+def over_all_pairs(x, y, penalty=quality_model.PENALTY):
+    """Weights of the standardised columns, from a list of all pairs."""
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) < 1e-9, 1.0, x.std(axis=0))
+    gap = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(gap @ w))
+        hessian = (gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + penalty * np.eye(len(w))
+        w -= np.linalg.solve(hessian, penalty * w - gap.T @ p / len(gap))
+    return w, z @ w
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.1, 2.0])
+def test_all_pairs_count(noise):
+    """Also with classes that one feature parts, a feature without spread and a far outlier."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 14))
+    y = (x[:, 3] + noise * rng.normal(size=400) > -1).astype(int)
+    x[:, 5], x[7, 9] = 0.4, 60.0
+    ranking = quality_model.fit(x, y)
+    weights, values = over_all_pairs(x, y)
+    assert np.abs(ranking.weights - weights).max() < 1e-7
+    bad = (y == 0).sum()
+    assert ranking.cut == pytest.approx(np.sort(values)[[bad - 1, bad]].mean(), abs=1e-6)
+    assert ranking.width == pytest.approx((np.median(np.sort(values)[bad:]) - ranking.cut) / 3, abs=1e-6)
+
+
+def test_all_labelled_texts_are_learned_from(spark):
+    """More texts than the old bound, some of an id with many texts and some repeated; each text counts once."""
+    random.seed(3)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(1, 9))) for _ in range(300)]
+    rows, labels = [], []
+    for k in range(29_000):
+        text = " ".join(random.choice(words) for _ in range(random.randint(3, 9)))
+        rows.append((k if k < 28_000 else 1, text + "#" * random.randint(0, 4 if k % 4 else 9)))
+    labels = [(k, int(k % 4 > 0), 0) for k in range(28_000)] + [(2, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    ranking = quality_model.learn(documents(spark, rows + rows[:500] + [(4, None)], extra=False), table)
+    learned = sorted({(t, int(k % 4 > 0)) for k, t in rows if zlib.crc32(str(k).encode()) % 5 and k != 2})
+    assert len(learned) > 22_000
+    x, y = np.array([quality_model.features(t) for t, _ in learned]), np.array([label for _, label in learned])
+    whole = quality_model.fit(x, y)
+    assert np.abs(ranking.mean - x.mean(axis=0)).max() < 1e-9
+    assert np.abs(ranking.weights - whole.weights).max() < 1e-7
+    assert (ranking.cut, ranking.width) == pytest.approx((whole.cut, whole.width), abs=1e-7)
+
+
+def test_values_at_ranks(spark):
+    """Ties, a far value and a single one, against the sorted list."""
+    for values in ([5.0], [1.0] * 50, [0.1 * (k % 7) for k in range(900)] + [1e9, -3.0], [2.0**-k for k in range(99)]):
+        ranks = sorted({0, len(values) // 3, len(values) // 2, len(values) - 1})
+        table = spark.createDataFrame([(v,) for v in values], "value double")
+        assert quality_model._ranked(table, ranks) == [sorted(values)[k] for k in ranks]
